@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import decontaminate
+from lexispark.llm import decontaminate, toxicity
 from lexispark.llm.common import cut, table
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the detector, fitted on the labelled ones among ``docs``, calls toxic."""
+    return toxicity.remove_toxic(docs, toxicity.fit_detector(docs, table(spark, sf_dir, "labels")))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; every document stays."""
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_filter),
     ("benchmark_decontamination", benchmark_decontamination),
 ]
 

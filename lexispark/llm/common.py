@@ -18,6 +18,8 @@ TOKEN = re.compile(r"[^\W_]+")
 TOKEN_SQL = r"[\p{L}\p{N}]+"
 #: Rows of an Arrow batch that are turned into Python strings at once.
 SLICE = 256
+#: Temporary folders of sessions that name no shared one, by application.
+_UNNAMED: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it; only where it is unset, as in tests, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+        named = _UNNAMED.get(app) or _UNNAMED.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexispark-"))
+    return f"{named.rstrip('/')}/{app}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,10 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """Two hashes that name a row by its id and its text, nulls included; rows equal in both are one document."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that names a row by its id and its text, nulls included; rows equal in both are one document."""
     i, t = F.col(id_col), F.col(text_col)
-    return F.xxhash64(i.isNull(), i), F.xxhash64(t.isNull(), t)
+    return F.xxhash64(i.isNull(), i, t.isNull(), t)
+
+
+def rank_of(id_col: str) -> Column:
+    """Order in which the first of equal documents is chosen: by id, a null id last."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

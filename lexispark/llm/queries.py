@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import decontaminate
+from lexispark.llm import decontaminate, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
