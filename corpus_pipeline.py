@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import decontaminate, toxicity
+from lexispark.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from lexispark.llm.common import cut, table
 
 
@@ -15,14 +15,32 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.remove_toxic(docs, toxicity.fit_detector(docs, table(spark, sf_dir, "labels")))
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes runs of lines that stood earlier; a document of which nothing remains goes."""
+    return line_dedup.delete_repeated_runs(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return simhash.remove_near_duplicates(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; every document stays."""
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives each piece of each document its place in a training sequence."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity_filter),
+    ("line_dedup", line_deduplication),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 #: The near-duplicate graph and the packing by non-negative least squares have no equal in SQL.

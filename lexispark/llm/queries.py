@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import decontaminate, toxicity
+from lexispark.llm import decontaminate, line_dedup, packing, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
