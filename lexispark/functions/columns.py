@@ -17,6 +17,14 @@ def col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    Inside the function of an array, an expression from outside is computed again for every element; a bound variable isn't.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def quoted_replacement(text: str) -> str:
     """A replacement in which neither ``$`` nor a backslash means anything."""
     return text.replace("\\", "\\\\").replace("$", "\\$")

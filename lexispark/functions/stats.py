@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.columns import ColumnOrName, col
+from lexispark.functions.columns import ColumnOrName, col, let
 from lexispark.functions.tokens import sentences, words
 
 #: A run of vowels counts as a syllable.
@@ -146,7 +146,10 @@ def segmented_ttr(w: ColumnOrName, segment_size: int = 50, variant: str = "mean"
     """Mean ratio of types over segments (the last partial one left out) or over all sliding windows (``moving-avg``)."""
     if variant not in ("mean", "moving-avg"):
         raise ValueError(f"variant = {variant!r}; known are 'mean' and 'moving-avg'")
-    lower = F.transform(col(w), F.lower)
+    return let(F.transform(col(w), F.lower), lambda lower: _segmented(lower, segment_size, variant))
+
+
+def _segmented(lower: Column, segment_size: int, variant: str) -> Column:
     size = F.least(F.lit(segment_size), F.size(lower))
     starts = F.sequence(F.lit(0), F.floor(F.size(lower) / size).cast("int") - 1) if variant == "mean" else F.sequence(F.lit(0), F.size(lower) - size)
     place = (lambda i: i * size + 1) if variant == "mean" else (lambda i: i + 1)
@@ -182,7 +185,10 @@ def mtld(w: ColumnOrName, min_ttr: float = 0.72) -> Column:
 
 def hdd(w: ColumnOrName, sample_size: int = 42) -> Column:
     """Expected ratio of types in a sample drawn without replacement."""
-    lower = F.transform(col(w), F.lower)
+    return let(F.transform(col(w), F.lower), lambda lower: _hdd(lower, sample_size))
+
+
+def _hdd(lower: Column, sample_size: int) -> Column:
     n = F.size(lower)
     s = F.least(F.lit(sample_size), n)
 
@@ -195,7 +201,10 @@ def hdd(w: ColumnOrName, sample_size: int = 42) -> Column:
 
 def counts(text: ColumnOrName, *, min_long: int = 7, min_poly: int = 3) -> Column:
     """The struct of counts of a text that readability is computed from."""
-    w = words(text)
+    return let(words(text), lambda w: _counts(text, w, min_long, min_poly))
+
+
+def _counts(text: ColumnOrName, w: Column, min_long: int, min_poly: int) -> Column:
     fields = {
         "n_sents": n_sents(text), "n_words": n_words(w), "n_unique_words": n_unique_words(w), "n_chars": n_chars(w), "n_long_words": n_long_words(w, min_n_chars=min_long), "n_syllables": n_syllables(w),
         "n_monosyllable_words": n_monosyllable_words(w), "n_polysyllable_words": n_polysyllable_words(w, min_n_syllables=min_poly), "sum_sq_chars": _total(F.transform(w, lambda x: F.length(x) * F.length(x))),
@@ -316,7 +325,7 @@ def diversity(name: str, w: ColumnOrName, **options) -> Column:
 def value_counts(tokens: ColumnOrName, attribute: str) -> Column:
     """How often each value of a token attribute (tag, pos or dep) occurs, as a map; those that are null don't count."""
     values = F.filter(F.transform(col(tokens), lambda t: t[attribute]), lambda v: v.isNotNull())
-    return F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)))))
+    return let(values, lambda vs: F.map_from_entries(F.transform(F.array_distinct(vs), lambda v: F.struct(v, F.size(F.filter(vs, lambda x: x == v))))))
 
 
 def morph_counts(tokens: ColumnOrName) -> Column:

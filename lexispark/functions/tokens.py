@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.functions.columns import ColumnOrName, col
+from lexispark.functions.columns import ColumnOrName, col, let
 from lexispark.functions.stopwords import stop_words
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
@@ -73,8 +73,14 @@ def text_to_char_ngrams(c: ColumnOrName, n: int, *, pad: bool = False) -> Column
     text = col(c)
     if pad:
         text = F.concat(F.lit("_" * (n - 1)), text, F.lit("_" * (n - 1)))
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).when(text.isNotNull(), F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    # characters are cut out once and joined, for a place within UTF-8 text has to be sought from its start
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+    def grams(c: Column) -> Column:
+        starts = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.element_at(c, i + k) for k in range(n)]))
+
+    return F.when(text.isNotNull(), let(chars, grams))
 
 
 def char_ngrams(c: ColumnOrName, ns: int | Iterable[int], *, lower: bool = False, pad: bool = False) -> Column:
@@ -130,7 +136,8 @@ def annotate(df: DataFrame, *, text_col: str = "text", lang_col: str | None = No
 
         return pd.Series([one(t, x) for t, x in zip(texts, langs)], dtype=object)
 
-    return df.withColumn(out_col, run(F.col(text_col), F.col(lang_col) if lang_col else F.lit(lang)))
+    # as it may not be repeated, no later expression takes it into itself, where it would run for every element
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col), F.col(lang_col) if lang_col else F.lit(lang)))
 
 
 def attach(tokens_col: ColumnOrName, **values: ColumnOrName) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.acronyms import is_acronym
-from lexispark.functions.columns import ColumnOrName, col
+from lexispark.functions.columns import ColumnOrName, col, let
 
 SPANS = "array<struct<start:int,end:int,text:string,lower:string,norm:string,lemma:string,label:string>>"
 NUMERIC_ENTITIES = ("ORDINAL", "CARDINAL", "MONEY", "QUANTITY", "PERCENT", "TIME", "DATE")
@@ -47,10 +47,13 @@ def frequent(items: Column, key: Callable[[Column], Column], min_freq: int) -> C
     """The items whose key occurs ``min_freq`` times: in sorted order the key stands again that much further on."""
     if min_freq <= 1:
         return items
-    ordered = F.array_sort(F.transform(items, key))
-    starts = F.when(F.size(ordered) >= min_freq, F.sequence(F.lit(1), F.size(ordered) - (min_freq - 1))).otherwise(F.array().cast("array<int>"))
-    often = F.array_distinct(F.transform(F.filter(starts, lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + (min_freq - 1))), lambda i: F.element_at(ordered, i)))
-    return F.filter(items, lambda x: F.array_contains(often, key(x)))
+
+    def often(ordered: Column) -> Column:
+        starts = F.when(F.size(ordered) >= min_freq, F.sequence(F.lit(1), F.size(ordered) - (min_freq - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(F.filter(starts, lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + (min_freq - 1))), lambda i: F.element_at(ordered, i)))
+
+    keep = lambda found: F.filter(items, lambda x: F.array_contains(found, key(x)))
+    return let(let(F.array_sort(F.transform(items, key)), often), keep)
 
 
 def words(tokens: ColumnOrName, *, filter_stops: bool = True, filter_punct: bool = True, filter_nums: bool = False, include_pos: str | Collection[str] | None = None, exclude_pos: str | Collection[str] | None = None, min_freq: int = 1) -> Column:
@@ -185,7 +188,7 @@ def terms(tokens: ColumnOrName, *, ngs: int | Collection[int] | Callable | None
 def unique_spans(spans: Column) -> Column:
     """The first of the spans with the same start and end."""
     place = F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
-    return F.filter(spans, lambda s, i: F.array_position(place, F.struct(s["start"], s["end"])) == i + 1)
+    return let(place, lambda p: F.filter(spans, lambda s, i: F.array_position(p, F.struct(s["start"], s["end"])) == i + 1))
 
 
 def terms_to_strings(terms_col: ColumnOrName, by: str | Callable[[Column], Column] = "lower") -> Column:
@@ -202,7 +205,7 @@ def terms_to_strings(terms_col: ColumnOrName, by: str | Callable[[Column], Colum
 def _bag(keys, n_tokens, weighting):
     count = Counter(k for k in keys if k is not None)
     below = {"count": 1, "binary": None, "freq": n_tokens}[weighting]
-    return [(k, 1.0 if below is None else n / below) for k, n in count.items()]
+    return {k: 1.0 if below is None else n / below for k, n in count.items()}
 
 
 def _weighted(keys: Column, tokens: ColumnOrName, weighting: str) -> Column:
@@ -469,7 +472,7 @@ def _definitions(doc, known):
                     text, confidence = find_definition(acronym, window)
                     if text and confidence > found[acronym][1]:
                         found[acronym] = text, confidence
-    return [*known.items(), *((a, d) for a, (d, _) in found.items())]
+    return known | {a: d for a, (d, _) in found.items()}
 
 
 def acronyms_and_definitions(tokens: ColumnOrName, known_acro_defs: dict[str, str] | None = None) -> Column:
@@ -583,10 +586,15 @@ def longest_runs(doc: list[dict], passes: Callable[[dict], bool]) -> list[list[d
 def get_longest_subsequence_candidates(tokens: ColumnOrName, match_func: Callable[[Column], Column]) -> Column:
     """Arrays of tokens: the longest runs that pass a column function."""
     doc = col(tokens)
-    marked = F.transform(doc, lambda t: F.coalesce(match_func(t), F.lit(False)))
+    marks = F.transform(doc, lambda t: F.coalesce(match_func(t), F.lit(False)))
+    runs = let(marks, lambda marked: _runs(doc, marked))
+    return F.when(F.size(doc) > 0, runs).otherwise(F.slice(F.array(doc), 1, 0))
+
+
+def _runs(doc: Column, marked: Column) -> Column:
     starts = F.filter(F.sequence(F.lit(1), F.size(doc)), lambda i: F.element_at(marked, i) & ((i == 1) | ~F.element_at(marked, F.greatest(i - 1, F.lit(1)))))
     ends = F.filter(F.sequence(F.lit(1), F.size(doc)), lambda i: F.element_at(marked, i) & ((i == F.size(doc)) | ~F.element_at(marked, F.least(i + 1, F.size(doc)))))
-    return F.when(F.size(doc) > 0, F.zip_with(starts, ends, lambda a, b: F.slice(doc, a, b - a + 1))).otherwise(F.slice(F.array(doc), 1, 0))
+    return F.zip_with(starts, ends, lambda a, b: F.slice(doc, a, b - a + 1))
 
 
 def get_ngram_candidates(tokens: ColumnOrName, ns: int | Collection[int], *, include_pos: str | Collection[str] | None = ("NOUN", "PROPN", "ADJ")) -> Column:

@@ -226,6 +226,11 @@ def truss_levels(edges: Collection[tuple[str, str]]) -> dict[str, int]:
     level: dict[str, int] = dict.fromkeys(near, 0)
     k = 1
     while support:
+        left = {x for e in support for x in e}
+        if 2 * len(support) == len(left) * (len(left) - 1):
+            # a complete graph peels at once
+            level.update((x, max(level[x], len(left) - 2)) for x in left)
+            break
         todo = [e for e, s in support.items() if s < k]
         while todo:
             e = todo.pop()
@@ -258,7 +263,8 @@ def _scake(doc, normalize, pos, topn):
     weights: Counter = Counter()
     # words of an inner sentence take part in two windows
     for window in [a + b for a, b in zip(parts, parts[1:])] or parts:
-        weights.update((a, b) for a, b in combinations(sorted(window), 2) if a != b)
+        for (a, n), (b, m) in combinations(sorted(Counter(window).items()), 2):
+            weights[a, b] += n * m
     if not weights:
         return []
     level = truss_levels(weights)

@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, one per operator, each with the SQL that gives the same rows."""
+"""Queries over the driver's tables, one for each operator or family, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"{key} is registered twice")
+        QUERIES[key] = f
+        if sql is not None:
+            SQL[key] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from lexispark.plans import corpora, matrices, networks, statistics, texts  # noqa: E402, F401
