@@ -19,7 +19,8 @@ _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d{1,2})"
 _PRIVATE = rf"(?!(?:127|10)(?:{_DOT}\d{{1,3}}){{3}})(?!(?:192{_DOT}168|169{_DOT}254)(?:{_DOT}\d{{1,3}}){{2}})(?!172{_DOT}(?:3[01]|2\d|1[6-9])(?:{_DOT}\d{{1,3}}){{2}})"
 _ADDRESS = rf"{_PRIVATE}(?:22[0-3]|2[01]\d|1\d\d|[1-9]\d?)(?:{_DOT}{_OCTET}){{2}}{_DOT}(?:25[0-4]|2[0-4]\d|1\d\d|[1-9]\d?)"
 #: The last label has letters only; labels before it are taken greedily, with the last given back.
-_NAME = rf"{_LABEL}(?:{_DOT}{_LABEL}(?={_DOT}))*+{_DOT}[a-z\x{{A1}}-\x{{FFFF}}]{{2,}}"
+_LAST = rf"{_DOT}[a-z\x{{A1}}-\x{{FFFF}}]{{2,}}"
+_NAME = rf"{_LABEL}(?:{_DOT}{_LABEL}(?={_LAST}))*+{_LAST}"
 URL = rf"(?i){_BEFORE_URL}(?:(?:ftp|https?)://|www\d{{0,3}}{_DOT})(?:[^\s@/]+@)?(?:{_ADDRESS}|{_NAME})(?::\d{{2,5}})?(?:/\S*)?{_AFTER_URL}"
 SHORT_URL = rf"(?i){_BEFORE_URL}(?:https?://)?(?:{_W}+-)*+{_W}+(?:{_DOT}[a-z]{{2,12}}){{1,3}}/[^\s|+'\"?!,.]{{2,12}}{_AFTER_URL}"
 EMAIL = rf"(?i)(?:mailto:)?(?<![.@){WORD_SIGNS}])[+\-{WORD_SIGNS}]++(?:{_DOT}[+\-{WORD_SIGNS}]++)*+@{_W}++(?:-{_W}++)*+(?:{_DOT}[a-z]{{2,}}){{1,3}}(?!{_W})"

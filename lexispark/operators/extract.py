@@ -182,13 +182,14 @@ def terms(tokens: ColumnOrName, *, ngs: int | Collection[int] | Callable | None
     if not parts:
         raise ValueError("terms need one extractor at least")
     found = F.flatten(F.array(*parts))
-    return unique_spans(found) if dedupe else found
+    # n-grams alone never share a place
+    return unique_spans(found) if dedupe and len(parts) > 1 else found
 
 
 def unique_spans(spans: Column) -> Column:
     """The first of the spans with the same start and end."""
-    place = F.transform(spans, lambda s: F.struct(s["start"], s["end"]))
-    return let(place, lambda p: F.filter(spans, lambda s, i: F.array_position(p, F.struct(s["start"], s["end"])) == i + 1))
+    place = lambda s: F.shiftleft(s["start"].cast("bigint"), 31) + s["end"]
+    return let(spans, lambda all_: let(F.transform(all_, place), lambda p: F.filter(all_, lambda s, i: F.array_position(p, place(s)) == i + 1)))
 
 
 def terms_to_strings(terms_col: ColumnOrName, by: str | Callable[[Column], Column] = "lower") -> Column:
