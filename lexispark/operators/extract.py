@@ -202,17 +202,21 @@ def terms_to_strings(terms_col: ColumnOrName, by: str | Callable[[Column], Colum
     return F.transform(col(terms_col), lambda t: F.coalesce(t[name], t["lower"]))
 
 
-@per_doc("map<string,double>")
-def _bag(keys, n_tokens, weighting):
-    count = Counter(k for k in keys if k is not None)
-    below = {"count": 1, "binary": None, "freq": n_tokens}[weighting]
-    return {k: 1.0 if below is None else n / below for k, n in count.items()}
-
-
 def _weighted(keys: Column, tokens: ColumnOrName, weighting: str) -> Column:
+    """Keys to weights: in sorted order a key's count is the distance to the next one's first place."""
     if weighting not in ("count", "freq", "binary"):
         raise ValueError(f"weighting = {weighting!r}; known are count, freq and binary")
-    return _bag(keys, F.size(col(tokens)), weighting=weighting)
+    n = F.size(col(tokens))
+
+    def weigh(k: Column) -> Column:
+        return {"count": k.cast("double"), "binary": F.lit(1.0), "freq": k / n}[weighting]
+
+    def count(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>"))
+        firsts = F.filter(places, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return let(firsts, lambda f: F.map_from_arrays(F.transform(f, lambda i: F.element_at(s, i)), F.transform(f, lambda i, k: weigh(F.coalesce(F.get(f, k + 1), F.size(s) + 1) - i))))
+
+    return let(F.array_sort(F.filter(keys, lambda k: k.isNotNull())), count)
 
 
 def to_bag_of_words(tokens: ColumnOrName, *, by: str = "lemma", weighting: str = "count", **filters) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _UNNAMED: dict[str, str] = {}
 
@@ -25,3 +26,12 @@ def written(df: DataFrame) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number from 0 on: rows are numbered in their partitions, which begin where those before them end."""
+    placed = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()))
+    within = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_k")))
+    sizes = placed.groupBy("_part").count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_part", "_k", "_n", "_before")  # a row for each partition

@@ -224,7 +224,7 @@ class UDHR(Dataset):
         schema = "`_l` string, `_n` string, `_f` string, `_bcp47` string, `_stage` int"
         index = self.spark.read.format("xml").option("rowTag", "udhr").schema(schema).load(f"{self.path}/index.xml").where(F.col("_bcp47").rlike("^[a-z]{2}$") & (F.col("_stage") >= 3))
         whole = self.spark.read.text(f"{self.path}/*.txt", wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("file"))
-        body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?s)^.*?---", ""), r"\s*\n\s*", "\n"), r"[ \t]+", " "))
+        body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?s)^.*?---", ""), r"\s*\n\s*", "\n"), r"[ \t]+", " "), r"^\s+|\s+$", "")
         return whole.join(index.select(F.concat(F.lit("udhr_"), F.col("_f")).alias("file"), F.col("_bcp47").alias("lang"), F.col("_n").alias("lang_name")), "file").select(body.alias("text"), "lang", "lang_name", F.concat("file", F.lit(".txt")).alias("filename"))
 
     def conditions(self, *, lang=None) -> list[Column | None]:

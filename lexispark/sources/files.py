@@ -54,6 +54,13 @@ def open_sesame(path: str, *, mode: str = "rt", encoding: str | None = None, err
         if mode[0] == "r" and len(z.namelist()) != 1:
             raise ValueError(f"{path} holds {len(z.namelist())} members and not one")
         member = z.open(z.namelist()[0] if mode[0] == "r" else os.path.splitext(os.path.basename(path))[0], mode[0])
+        close = member.close
+
+        def close_both() -> None:
+            close()
+            z.close()
+
+        member.close = close_both
         return member if "b" in mode else io.TextIOWrapper(member, **options)
     opener = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}.get(kind, open)
     return opener(path, mode, **options)
