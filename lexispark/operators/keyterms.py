@@ -13,8 +13,9 @@ from math import log, log2, prod, sqrt
 
 import numpy as np
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from lexispark.functions.columns import ColumnOrName
+from lexispark.functions.columns import ColumnOrName, col
 from lexispark.operators.extract import filtered_topn, longest_runs, per_doc
 from lexispark.operators.network import pagerank
 
@@ -30,6 +31,14 @@ def _form(normalize: str | None):
     return lambda t: t[name] or t["lower"]
 
 
+#: What ranking reads of a token; the rest isn't sent to Python.
+_FIELDS = ("i", "text", "lower", "norm", "lemma", "pos", "sent_id", "is_stop", "is_punct", "is_space", "is_upper", "is_title", "is_sent_start")
+
+
+def _slim(tokens: ColumnOrName) -> Column:
+    return F.transform(col(tokens), lambda t: F.struct(*[t[f].alias(f) for f in _FIELDS]))
+
+
 def _check(topn: int | float) -> None:
     if isinstance(topn, float) and not 0 < topn <= 1:
         raise ValueError(f"topn = {topn}; a share is above 0 and 1 at most")
@@ -87,7 +96,7 @@ def textrank(tokens: ColumnOrName, *, normalize: str | None = "lemma", include_p
     _form(normalize)
     if edge_weighting not in ("binary", "count"):
         raise ValueError(f"edge_weighting = {edge_weighting!r}")
-    return _textrank(tokens, normalize=normalize, pos=_pos(include_pos), window_size=window_size, edge_weighting=edge_weighting, position_bias=position_bias, topn=topn)
+    return _textrank(_slim(tokens), normalize=normalize, pos=_pos(include_pos), window_size=window_size, edge_weighting=edge_weighting, position_bias=position_bias, topn=topn)
 
 
 def _grams(doc: list[dict], ns: tuple[int, ...], pos: tuple[str, ...] | None) -> list[list[dict]]:
@@ -158,7 +167,7 @@ def yake(tokens: ColumnOrName, *, normalize: str | None = "lemma", ngrams: int |
     """Terms by the statistics of their words; the lower, the better. Without two words that aren't stop words there is nothing to rank."""
     _check(topn)
     _form(normalize)
-    return _yake(tokens, normalize=normalize, ns=(ngrams,) if isinstance(ngrams, int) else tuple(ngrams), pos=_pos(include_pos), window_size=window_size, topn=topn)
+    return _yake(_slim(tokens), normalize=normalize, ns=(ngrams,) if isinstance(ngrams, int) else tuple(ngrams), pos=_pos(include_pos), window_size=window_size, topn=topn)
 
 
 @per_doc(RANKED)
@@ -212,7 +221,7 @@ def sgrank(tokens: ColumnOrName, *, normalize: str | None = "lemma", ngrams: int
     _form(normalize)
     if window_size < 2:
         raise ValueError("window_size is 2 at least")
-    return _sgrank(tokens, normalize=normalize, ns=(ngrams,) if isinstance(ngrams, int) else tuple(ngrams), pos=_pos(include_pos), window_size=window_size, topn=topn, idf=idf)
+    return _sgrank(_slim(tokens), normalize=normalize, ns=(ngrams,) if isinstance(ngrams, int) else tuple(ngrams), pos=_pos(include_pos), window_size=window_size, topn=topn, idf=idf)
 
 
 def truss_levels(edges: Collection[tuple[str, str]]) -> dict[str, int]:
@@ -288,7 +297,7 @@ def scake(tokens: ColumnOrName, *, normalize: str | None = "lemma", include_pos:
     """Terms whose words stand early, in dense parts of the network of adjacent sentences, with strong and varied neighbours."""
     _check(topn)
     _form(normalize)
-    return _scake(tokens, normalize=normalize, pos=_pos(include_pos), topn=topn)
+    return _scake(_slim(tokens), normalize=normalize, pos=_pos(include_pos), topn=topn)
 
 
 METHODS = {f.__name__: f for f in (textrank, yake, sgrank, scake)}

@@ -58,11 +58,15 @@ def _cast(formula: str) -> str:
     return re.sub(r"\b(n_\w+|sum_sq_chars)\b", r"\1::DOUBLE", re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1::DOUBLE", formula))
 
 
-@query(f"WITH {COUNTS} SELECT doc_id, {', '.join(f'round({_cast(f)}, 5) AS {n}' for n, f in _FORMULAS.items())} FROM c WHERE n_words > 0 AND n_sents > 0")
+#: Ratios of small numbers often lie halfway between two decimals, where the last bit would decide; the halves are moved a little.
+_HALF = 0.500001
+
+
+@query(f"WITH {COUNTS} SELECT doc_id, {', '.join(f'floor(({_cast(f)}) * 1e5 + {_HALF}) / 1e5 AS {n}' for n, f in _FORMULAS.items())} FROM c WHERE n_words > 0 AND n_sents > 0")
 def readability(spark, sf_dir):
     df = stats.text_stats(_docs(spark, sf_dir)).where("stats.n_words > 0 AND stats.n_sents > 0")
     value = {n: f("stats") for n, f in stats.READABILITY.items()} | {"flesch_reading_ease": stats.flesch_reading_ease_by_lang("stats", "lang")}
-    return df.select("doc_id", *[F.round(c, 5).alias(n) for n, c in value.items()])
+    return df.select("doc_id", *[(F.floor(c * 1e5 + _HALF) / 1e5).alias(n) for n, c in value.items()])
 
 
 _DIVERSITY = f"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{W}'), lambda x: lower(x)) AS w FROM documents),
