@@ -1,7 +1,8 @@
 """Licence scans with a generalised suffix automaton over the tokens of licence templates.
 
 A text is streamed through the automaton, which gives at every token the longest run ending there that occurs in some
-template (matching statistics). Runs that can't be extended are matches; matches that follow one another in the text
+template (matching statistics); its suffix links give the shorter runs ending there that occur at further places of
+templates. Runs that their place can't extend are matches; matches that follow one another in the text
 and in a template, with gaps of at most ``MAX_GAP`` tokens, are chained, and a chain that covers enough of its template
 is a finding. The automaton's size depends on the templates alone. Texts are read once and never shuffled; a stretch
 without ``MIN_MATCH`` template tokens in a row never enters the automaton.
@@ -9,6 +10,7 @@ without ``MIN_MATCH`` template tokens in a row never enters the automaton.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +67,13 @@ class SuffixAutomaton:
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
                 self.ends[self.link[state]] += self.ends[state]
+        self.places = [set(x) for x in self.ends]
+        self.sequences = sequences
+
+    def following(self, number: int, place: int) -> int:
+        """The symbol of a sequence after a place, 0 at its end."""
+        sequence = self.sequences[number]
+        return sequence[place] if place < len(sequence) else 0
 
     def _new(self, length: int, like: int | None = None) -> int:
         self.length.append(length)
@@ -107,10 +116,18 @@ class SuffixAutomaton:
             yield length, state
 
 
-def maximal_matches(automaton: SuffixAutomaton, symbols: list[int], min_match: int) -> list[tuple[int, int, int]]:
-    """(end, length, state) of the runs of at least ``min_match`` that the next symbol doesn't extend."""
-    found = list(automaton.matching_statistics(symbols))
-    return [(i + 1, n, state) for i, (n, state) in enumerate(found) if n >= min_match and (i + 1 == len(found) or found[i + 1][0] <= n)]
+def maximal_matches(automaton: SuffixAutomaton, symbols: list[int], min_match: int) -> Iterator[tuple[int, int, int, int]]:
+    """(end, template, template end, length) of the runs of at least ``min_match`` that a place of a template has and that it extends neither way."""
+    for i, (n, state) in enumerate(automaton.matching_statistics(symbols), 1):
+        following = symbols[i] if i < len(symbols) else 0
+        longer: set[tuple[int, int]] = set()
+        while n >= min_match:
+            ends = automaton.places[state]
+            for template, place in ends - longer if longer else ends:
+                if automaton.following(template, place) != following or not following:
+                    yield i, template, place, n
+            longer, state = ends, automaton.link[state]
+            n = automaton.length[state]
 
 
 def chains(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int]]:
@@ -121,13 +138,9 @@ def chains(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int,
     """
     matches = sorted(matches)
     total, begin = [], []
-    low = 0
-    longest = max((n for _, _, n in matches), default=0)
     for i, (end, place, n) in enumerate(matches):
         best, start = n, end - n
-        while matches[low][0] < end - n - max_gap - longest:
-            low += 1
-        for j in range(low, i):
+        for j in range(bisect_left(matches, (end - n - max_gap,)), i):
             e, p, m = matches[j]
             # of two that overlap, the later one counts what lies beyond the earlier
             over = max(0, e - (end - n), p - (place - n))
@@ -168,9 +181,8 @@ class Scanner:
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a < self.min_match:
                 continue
-            for end, n, state in maximal_matches(self.automaton, symbols[a:b].tolist(), self.min_match):
-                for template, place in self.automaton.ends[state]:
-                    by_template.setdefault(template, []).append((a + end, place, n))
+            for end, template, place, n in maximal_matches(self.automaton, symbols[a:b].tolist(), self.min_match):
+                by_template.setdefault(template, []).append((a + end, place, n))
         found = []
         for template, matches in by_template.items():
             size = self.sizes[template]

@@ -167,6 +167,37 @@ def test_matching_statistics_by_brute_force():
                 assert sorted(set(automaton.ends[state])) == ends
 
 
+def brute_matches(sequences, symbols, least):
+    out = []
+    for k, s in enumerate(sequences):
+        for a in range(len(symbols)):
+            for b in range(len(s)):
+                if symbols[a] == s[b] and (a == 0 or b == 0 or symbols[a - 1] != s[b - 1]):
+                    n = 0
+                    while a + n < len(symbols) and b + n < len(s) and symbols[a + n] == s[b + n]:
+                        n += 1
+                    if n >= least:
+                        out.append((a + n, k, b + n, n))
+    return sorted(out)
+
+
+def test_matches_of_each_template_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        sequences = [[rng.randint(1, 3) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 5))]
+        symbols = [rng.randint(1, 3) for _ in range(25)]
+        least = rng.randint(1, 4)
+        found = sorted(licenses.maximal_matches(licenses.SuffixAutomaton(sequences), symbols, least))
+        assert found == brute_matches(sequences, symbols, least)
+
+
+def test_a_template_does_not_mask_another():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_MATCH, licenses.MAX_GAP, licenses.MIN_COVER, licenses.ENOUGH_TOKENS)
+    for before in ("This work is ", "", "x "):
+        found = scanner.scan(f"{before}licensed under the terms of the MIT License")
+        assert [(f[0], f[5]) for f in found] == [("MIT", 5)]
+
+
 def test_licences(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "hereby" in t)
     changed = mit.replace("free of charge", "at no charge")
