@@ -5,12 +5,15 @@ all other tokens end a phrase, so that runs of known tokens that are shorter tha
 and aren't indexed. Over what remains the shard builds a suffix array, the Burrows-Wheeler transform in a wavelet
 matrix with popcount ranks, and suffix positions at every ``SAMPLE``-th place. All phrases are searched backwards at
 once; occurrences are located by walking to the next sampled position, mapped to documents, and merged.
-The text is read once and never shuffled: only the benchmark's phrases travel, in slices of a checked size.
+The text is read once and never shuffled: only the benchmark's phrases travel, in slices of a checked size. A benchmark of
+several slices reads the text once for each; the occurrences that the slices find are united by text before they are
+merged, so that the result is that of one slice, and where spans are cut out, the texts are joined with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.llm.common import TOKEN, TOKEN_SQL, merge_intervals, table, text_slices
+from lexispark.llm.common import TOKEN, TOKEN_SQL, fresh, merge_intervals, row_key, table, text_slices
 
 #: Tokens of a phrase: an 8-gram of the benchmark that occurs in a document is contamination.
 NGRAM = 8
@@ -216,8 +219,8 @@ def shard_hits(symbols: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarr
         yield place[index.locate(low[which] + inner)], length, items[which]
 
 
-def shard_spans(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases) -> dict[int, list[tuple[int, ...]]]:
-    """Merged spans of each document of a shard that has any, by its place in ``texts``."""
+def _shard_occurrences(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases) -> tuple[np.ndarray, ...] | None:
+    """Start, end and item of each occurrence in a shard, in order of the start, and the start of each document; None if there is none."""
     parts, starts, total = [], np.zeros(len(texts), np.int64), 0
     for i, text in enumerate(texts):
         starts[i] = total
@@ -227,20 +230,34 @@ def shard_spans(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases)
             total += len(words) + 1
             parts.append(np.zeros(1, np.int32))
     if not total or not phrases.rows:
-        return {}
+        return None
     hits = list(shard_hits(np.concatenate(parts), phrases))
     if not hits:
-        return {}
+        return None
     start = np.concatenate([h[0] for h in hits])
     end = np.concatenate([h[0] + h[1] for h in hits])
     item = np.concatenate([h[2] for h in hits])
     order = np.argsort(start, kind="stable")
-    start, end, item = start[order], end[order], item[order]
-    # a separator between two documents keeps their intervals apart
+    return start[order], end[order], item[order], starts
+
+
+def _merged(start: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Low and high end, number of occurrences and least item of each span of occurrences in order of their start."""
     low, high, group = merge_intervals(start, end)
-    doc = np.searchsorted(starts, low, side="right") - 1
     n = np.bincount(group, minlength=len(low))
     least = np.minimum.reduceat(item, np.flatnonzero(np.r_[True, group[1:] != group[:-1]])) if len(group) else item
+    return low, high, n, least
+
+
+def shard_spans(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases) -> dict[int, list[tuple[int, ...]]]:
+    """Merged spans of each document of a shard that has any, by its place in ``texts``."""
+    hits = _shard_occurrences(texts, symbols_of, phrases)
+    if hits is None:
+        return {}
+    start, end, item, starts = hits
+    # a separator between two documents keeps their intervals apart
+    low, high, n, least = _merged(start, end, item)
+    doc = np.searchsorted(starts, low, side="right") - 1
     out: dict[int, list[tuple[int, ...]]] = {}
     for d in np.unique(doc):
         found = [m.span() for m in TOKEN.finditer(texts[d])]
@@ -250,7 +267,23 @@ def shard_spans(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases)
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_tokens: int, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None], dict]]:
+def shard_occurrences(texts: list[str | None], symbols_of: _Symbols, phrases: Phrases) -> dict[int, list[tuple[int, ...]]]:
+    """(tok_start, tok_end, char_start, char_end, item) of each occurrence in each document of a shard that has any."""
+    hits = _shard_occurrences(texts, symbols_of, phrases)
+    if hits is None:
+        return {}
+    start, end, item, starts = hits
+    out: dict[int, list[tuple[int, ...]]] = {}
+    doc = np.searchsorted(starts, start, side="right") - 1
+    for d in np.unique(doc).tolist():
+        found = [m.span() for m in TOKEN.finditer(texts[d])]
+        of = doc == d
+        for a, b, i in zip((start[of] - starts[d]).tolist(), (end[of] - starts[d]).tolist(), item[of].tolist()):
+            out.setdefault(d, []).append((a, b, found[a][0], found[b - 1][1], i))
+    return out
+
+
+def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_tokens: int, column: int, find=shard_spans) -> Iterator[tuple[pa.RecordBatch, list[str | None], dict]]:
     """Rows of the partition in shards of about ``shard_tokens`` tokens, with their spans."""
     symbols_of = _Symbols(phrases.ids)
     for batch in batches:
@@ -259,22 +292,75 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_tokens: i
             texts += part
             chars += sum(len(t) for t in part if t)
             if chars >= 5 * shard_tokens:
-                yield batch.slice(begin, len(texts)), texts, shard_spans(texts, symbols_of, phrases)
+                yield batch.slice(begin, len(texts)), texts, find(texts, symbols_of, phrases)
                 begin, texts, chars = start + len(part), [], 0
         if texts:
-            yield batch.slice(begin, len(texts)), texts, shard_spans(texts, symbols_of, phrases)
+            yield batch.slice(begin, len(texts)), texts, find(texts, symbols_of, phrases)
 
 
 def _benchmark_slices(benchmark: DataFrame, item_col: str, text_col: str, slice_chars: int) -> Iterator[list[tuple[int, str | None]]]:
     """The benchmark in slices of a bounded size, streamed through the driver."""
-    part, chars = [], 0
+    part, chars, first = [], 0, True
     for item, text in benchmark.select(F.col(item_col).cast("long"), text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         part.append((item, text))
         chars += len(text)
         if chars >= slice_chars:
             yield part
-            part, chars = [], 0
-    yield part
+            part, chars, first = [], 0, False
+    if part or first:
+        yield part
+
+
+def _phrases(benchmark: DataFrame, item_col: str, text_col: str, slice_chars: int, ngram: int, min_item_tokens: int) -> tuple[Phrases, Iterator[Phrases]]:
+    """The phrases of the first slice, and of those after it, if there are any."""
+    slices = (Phrases(part, ngram, min_item_tokens) for part in _benchmark_slices(benchmark, item_col, text_col, slice_chars))
+    return next(slices), slices
+
+
+def _united_spans(source: DataFrame, slices: Iterator[Phrases], shard_tokens: int) -> DataFrame:
+    """(key, id, copies, spans) of the rows (id, text, key) in which any slice has phrases; rows of one key are alike.
+
+    An occurrence that several slices find counts once, with the least item. Only occurrences are shuffled.
+    """
+    id_type = source.schema["id"].dataType.simpleString()
+    names = ["tok_start", "tok_end", "char_start", "char_end", "item"]
+    hit_type = pa.list_(pa.struct([*((n, pa.int32()) for n in names[:4]), (names[4], pa.int64())]))
+    span_names = SPANS.names
+    span_type = pa.list_(pa.struct([*((n, pa.int32()) for n in span_names[:5]), (span_names[5], pa.int64())]))
+
+    def finder(phrases: Phrases):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, _, hits in _shards(batches, phrases, shard_tokens, 1, shard_occurrences):
+                if hits:
+                    at = pa.array(list(hits))
+                    found = pa.array([[dict(zip(names, h)) for h in x] for x in hits.values()], hit_type)
+                    yield pa.RecordBatch.from_arrays([rows.column(2).take(at), rows.column(0).take(at), found], names=["key", "id", "hits"])
+
+        return run
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hits in batch.column(3).to_pylist():
+                least: dict[tuple[int, int], int] = {}
+                chars: dict[int, int] = {}
+                for h in hits:
+                    place = h["tok_start"], h["tok_end"]
+                    least[place] = min(least.get(place, h["item"]), h["item"])
+                    chars[h["tok_start"]], chars[-h["tok_end"]] = h["char_start"], h["char_end"]
+                places = sorted(least)
+                start, end = np.array(places, np.int64).T
+                spans = zip(*(x.tolist() for x in _merged(start, end, np.array([least[x] for x in places], np.int64))))
+                out.append([dict(zip(span_names, (a, b, chars[a], chars[-b], n, item))) for a, b, n, item in spans])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, span_type)], names=["key", "id", "copies", "spans"])
+
+    hits = None
+    for number, phrases in enumerate(slices):
+        part = source.mapInArrow(finder(phrases), f"key long, id {id_type}, hits array<struct<tok_start:int,tok_end:int,char_start:int,char_end:int,item:long>>").withColumn("slice", F.lit(number))
+        hits = part if hits is None else hits.unionAll(part)
+    alike = hits.groupBy("key", "slice").agg(F.first("id").alias("id"), F.first("hits").alias("hits"), F.count("*").alias("copies"))
+    by_key = alike.groupBy("key").agg(F.first("id").alias("id"), F.max("copies").cast("int").alias("copies"), F.flatten(F.collect_list("hits")).alias("hits"))
+    return by_key.mapInArrow(merge, f"key long, id {id_type}, copies int, spans array<{SPANS.simpleString()}>")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, min_item_tokens: int = MIN_ITEM_TOKENS, shard_tokens: int = SHARD_TOKENS, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -285,7 +371,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     [tok_start, tok_end) with its characters [char_start, char_end); ``n_phrases`` counts the occurrences in it and
     ``first_item`` is the least item id among them. Null or empty texts, and an empty benchmark, give no rows; a
     repeated row gives its spans each time; a null id stays null; a phrase of an item without id has the largest long;
-    other columns of ``docs`` aren't read. A benchmark above ``slice_chars`` is searched slice by slice.
+    other columns of ``docs`` aren't read. A benchmark above ``slice_chars`` is searched slice by slice,
+    with the same result.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *SPANS.fields])
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(docs.schema[id_col].dataType.simpleString())
@@ -303,11 +390,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
         return run
 
-    found = [source.mapInArrow(finder(Phrases(part, ngram, min_item_tokens)), schema) for part in _benchmark_slices(benchmark, item_col, item_text_col, slice_chars)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+    first, others = _phrases(benchmark, item_col, item_text_col, slice_chars, ngram, min_item_tokens)
+    second = next(others, None)
+    if second is None:
+        return source.mapInArrow(finder(first), schema)
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    united = _united_spans(keyed, chain([first, second], others), shard_tokens)
+    return united.select(F.col("id").alias("doc_id"), F.explode(F.flatten(F.array_repeat("spans", F.col("copies")))).alias("s")).select("doc_id", "s.*")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, min_item_tokens: int = MIN_ITEM_TOKENS, shard_tokens: int = SHARD_TOKENS, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -326,26 +415,42 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
                 if not spans:
                     yield rows
                     continue
-                for d, found in spans.items():
-                    pieces, last = [], 0
-                    for _, _, a, b, _, _ in found:
-                        pieces.append(texts[d][last:a])
-                        last = b
-                    texts[d] = " ".join([*pieces, texts[d][last:]])
-                columns = list(rows.columns)
-                columns[at] = pa.array(texts, columns[at].type)
-                if count is not None:
-                    chars = columns[count].to_pylist()
-                    for d in spans:
-                        chars[d] = len(texts[d])
-                    columns[count] = pa.array(chars, columns[count].type)
-                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+                yield without(list(rows.columns), texts, {d: [x[2:4] for x in found] for d, found in spans.items()})
 
         return run
 
-    for part in _benchmark_slices(benchmark, item_col, item_text_col, slice_chars):
-        docs = docs.mapInArrow(cleaner(Phrases(part, ngram, min_item_tokens)), docs.schema)
-    return docs
+    def without(columns: list[pa.Array], texts: list[str | None], cuts: dict[int, list[tuple[int, int]]]) -> pa.RecordBatch:
+        for d, found in cuts.items():
+            pieces, last = [], 0
+            for a, b in found:
+                pieces.append(texts[d][last:a])
+                last = b
+            texts[d] = " ".join([*pieces, texts[d][last:]])
+        columns[at] = pa.array(texts, columns[at].type)
+        if count is not None:
+            chars = columns[count].to_pylist()
+            for d in cuts:
+                chars[d] = len(texts[d])
+            columns[count] = pa.array(chars, columns[count].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = batch.column(len(names))
+            cuts = {d: [(c["char_start"], c["char_end"]) for c in marked[d].as_py()] for d in np.flatnonzero(np.asarray(marked.is_valid())).tolist()}
+            columns = list(batch.columns)[: len(names)]
+            yield without(columns, columns[at].to_pylist(), cuts) if cuts else pa.RecordBatch.from_arrays(columns, names=names)
+
+    first, others = _phrases(benchmark, item_col, item_text_col, slice_chars, ngram, min_item_tokens)
+    second = next(others, None)
+    if second is None:
+        return docs.mapInArrow(cleaner(first), docs.schema)
+    key, spans = fresh(docs, "text_key", "text_spans")
+    text_key = F.xxhash64(F.col(text_col))
+    keyed = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), text_key.alias("key"))
+    united = _united_spans(keyed, chain([first, second], others), shard_tokens).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    joined = docs.withColumn(key, text_key).join(united.hint("shuffle_hash"), key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(cutter, docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,24 @@ def test_decontamination_by_brute_force(spark, shard_tokens):
     assert all(r["text"] == before[r["doc_id"]] for r in clean.collect() if r["doc_id"] not in hit)
 
 
+def test_a_sliced_benchmark_gives_the_rows_and_texts_of_one_slice(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abc")
+    docs = [(k, " ".join(word() for _ in range(rng.randint(0, 30))), "en") for k in range(40)] + [(50, None, None), (None, "a b c a b", "en"), (51, "", "en"), (3, "A, b. C a!", "en"), (3, "A, b. C a!", "en"), (60, "x1 x2 x3 x4 y1 y2 z", "en")]
+    items = [(9, "a b c a"), (4, "b c a b c c"), (2, "a b c a b"), (5, "c c"), (6, None), (8, "c c c"), (10, "x1 x2 x3 x4"), (11, "x3 x4 y1 y2")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    options = {"ngram": 4, "min_item_tokens": 3}
+    expected = brute_spans([d[:2] for d in docs], items, 4, 3)
+    whole = decontaminate.remove_contamination(frame(spark, docs), benchmark, **options)
+    assert (60, "  z") in [(r["doc_id"], r["text"]) for r in whole.collect()]
+    for slice_chars in (1, 16):
+        spans = decontaminate.contaminated_spans(frame(spark, docs), benchmark, slice_chars=slice_chars, **options)
+        assert spans.columns == ["doc_id", *decontaminate.SPANS.names]
+        assert Counter(map(tuple, spans.collect())) == expected
+        clean = decontaminate.remove_contamination(frame(spark, docs), benchmark, slice_chars=slice_chars, **options)
+        assert Counter(map(tuple, clean.collect())) == Counter(map(tuple, whole.collect()))
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated_spans(frame(spark, [(1, "a b", "en")]), none).count() == 0
