@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexispark.llm import line_dedup, simhash, suffix_dedup
 from lexispark.llm.common import TOKEN, table
 from tests.conftest import same_rows
@@ -62,6 +63,16 @@ def test_lines_by_brute_force(spark, n):
     assert all(r["n_chars"] == len(r["text"]) for r in got.where("text is not null").collect())
 
 
+def test_the_stage_deletes_single_lines_by_brute_force(spark, sf):
+    rng = random.Random(1)
+    rows = [x for x in dict.fromkeys(ODD) if x[1] is not None] + [(100 + k, "\n".join(rng.choice(["u", "v", "w", "", " v "]) + rng.choice("123456789") for _ in range(rng.randint(0, 4)))) for k in range(40)]
+    rows += [(200, "a1\nhot line of boilerplate\na2"), (201, "b1\nhot line of boilerplate\nb2"), (202, "hot line of boilerplate")]
+    expected = brute_lines(rows, 1)
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.line_deduplication(spark, frame(spark, rows), sf).collect()}
+    assert got == {(i, rest) for (i, t), rest in expected.items() if rest == t or rest.strip(" \t\r\n")}
+    assert {(200, "a1\nhot line of boilerplate\na2"), (201, "b1\nb2")} <= got and not any(i == 202 for i, _ in got)
+
+
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.delete_repeated_runs(frame(spark, [])).count() == 0
     assert line_dedup.repeated_runs(frame(spark, [])).count() == 0
