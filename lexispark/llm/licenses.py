@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ MAX_GAP = 8
 #: Share of a template that a finding covers, or the tokens of it that are enough.
 MIN_COVER, ENOUGH_TOKENS = 0.75, 40
 
+#: (licence, file with its whole text).
+BODIES = (
+    ("Apache-2.0", "Apache-2.0.txt"), ("BSD-3-Clause", "BSD.txt"), ("CC0-1.0", "CC0-1.0.txt"), ("GPL-2.0", "GPL-2.txt"), ("GPL-3.0", "GPL-3.txt"),
+    ("LGPL-2.1", "LGPL-2.1.txt"), ("LGPL-3.0", "LGPL-3.txt"), ("MPL-2.0", "MPL-2.0.txt"),
+)
 #: (licence, template). Several templates may stand for one licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -49,6 +55,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
+    *((name, f"This work is licensed under the GNU {kind} General Public License, version 3") for name, kind in (("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero"))),
+    *(
+        (name, f"under the terms of the GNU {kind} General Public License as published by the Free Software Foundation, either version {version} of the License")
+        for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser", "2.1"), ("LGPL-3.0", "Lesser", "3"), ("AGPL-3.0", "Affero", "3"))
+    ),
+    *((name, files("lexispark.llm").joinpath("licence_texts", file).read_text("utf-8")) for name, file in BODIES),
 )
 
 

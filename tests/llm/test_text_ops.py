@@ -216,6 +216,18 @@ def test_a_template_does_not_mask_another():
         assert [(f[0], f[5]) for f in found] == [("MIT", 5)]
 
 
+def test_notices_and_whole_texts():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_MATCH, licenses.MAX_GAP, licenses.MIN_COVER, licenses.ENOUGH_TOKENS)
+    for name, kind in (("GPL-3.0", ""), ("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero ")):
+        notice = f"redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License"
+        assert [f[0] for f in scanner.scan(notice)] == [name]
+        assert [f[0] for f in scanner.scan(f"This work is licensed under the terms of GNU {kind}General Public License, version 3")] == [name]
+    for name, file in licenses.BODIES:
+        body = licenses.files("lexispark.llm").joinpath("licence_texts", file).read_text("utf-8")
+        best = max(scanner.scan(body), key=lambda f: f[5])
+        assert best[0] == name and best[6] == 1.0
+
+
 def test_licences(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "hereby" in t)
     changed = mit.replace("free of charge", "at no charge")
