@@ -27,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; only where it is unset, as in tests, a temporary one."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; only in local mode, as in tests, it may be unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = _UNNAMED.get(app) or _UNNAMED.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexispark-"))
     return f"{named.rstrip('/')}/{app}"
 
@@ -49,9 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A hash that names a row by its id and its text, nulls included; rows equal in both are one document."""
-    i, t = F.col(id_col), F.col(text_col)
-    return F.xxhash64(i.isNull(), i, t.isNull(), t)
+    """128 bits that name a row by its id and its text, nulls included; rows equal in both are one document."""
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(part(id_col), F.lit("|"), part(text_col))))
 
 
 def rank_of(id_col: str) -> Column:

@@ -356,11 +356,11 @@ def _united_spans(source: DataFrame, slices: Iterator[Phrases], shard_tokens: in
 
     hits = None
     for number, phrases in enumerate(slices):
-        part = source.mapInArrow(finder(phrases), f"key long, id {id_type}, hits array<struct<tok_start:int,tok_end:int,char_start:int,char_end:int,item:long>>").withColumn("slice", F.lit(number))
+        part = source.mapInArrow(finder(phrases), f"key binary, id {id_type}, hits array<struct<tok_start:int,tok_end:int,char_start:int,char_end:int,item:long>>").withColumn("slice", F.lit(number))
         hits = part if hits is None else hits.unionAll(part)
     alike = hits.groupBy("key", "slice").agg(F.first("id").alias("id"), F.first("hits").alias("hits"), F.count("*").alias("copies"))
     by_key = alike.groupBy("key").agg(F.first("id").alias("id"), F.max("copies").cast("int").alias("copies"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return by_key.mapInArrow(merge, f"key long, id {id_type}, copies int, spans array<{SPANS.simpleString()}>")
+    return by_key.mapInArrow(merge, f"key binary, id {id_type}, copies int, spans array<{SPANS.simpleString()}>")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, min_item_tokens: int = MIN_ITEM_TOKENS, shard_tokens: int = SHARD_TOKENS, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -446,7 +446,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     if second is None:
         return docs.mapInArrow(cleaner(first), docs.schema)
     key, spans = fresh(docs, "text_key", "text_spans")
-    text_key = F.xxhash64(F.col(text_col))
+    text_key = F.unhex(F.md5(F.col(text_col)))
     keyed = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), text_key.alias("key"))
     united = _united_spans(keyed, chain([first, second], others), shard_tokens).select(F.col("key").alias(key), F.col("spans").alias(spans))
     joined = docs.withColumn(key, text_key).join(united.hint("shuffle_hash"), key, "left")

@@ -257,7 +257,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """(id, key, w0.., node) of each row whose text has a word; ``node`` names the signature."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, key long, " + ", ".join(f"{w} long" for w in _WORDS)
+    schema = f"id {id_type}, key binary, " + ", ".join(f"{w} long" for w in _WORDS)
     return source.mapInArrow(_signatures, schema).withColumn("node", F.xxhash64(*_WORDS))
 
 

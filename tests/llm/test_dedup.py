@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -24,18 +25,22 @@ def frame(spark, rows):
 ODD = [(1, None), (2, ""), (None, "a\nb\nc"), (3, "a\nb\nc"), (3, "a\nb\nc"), (4, "\n \n\t\n"), (5, "x\nx\nx\nx"), (6, "one line"), (7, "one line"), (8, "q\n\na \n b\nz"), (9, "y " * 30000)]
 
 
-def brute_lines(rows, n):
-    order = sorted({(i is None, i or 0, t) for i, t in rows if t is not None})
+def brute_lines(rows, n, long_words=None):
+    """Each document's text without the lines of runs of ``n``, and single ones of ``long_words`` words, that stood earlier."""
+    order = sorted({(i is None, i or 0, hashlib.md5(f"{hashlib.md5(str(i).encode()).hexdigest() if i is not None else ''}|{hashlib.md5(t.encode()).hexdigest()}".encode()).digest(), t) for i, t in rows if t is not None})
     seen, out = set(), {}
-    for none, i, t in order:
+    for none, i, _, t in order:
         lines = t.split("\n")
         kept = [(k, x.strip(" \t\r")) for k, x in enumerate(lines) if x.strip(" \t\r")]
         gone = set()
-        for p in range(len(kept) - n + 1):
-            run = tuple(x for _, x in kept[p : p + n])
-            if run in seen:
-                gone |= set(range(kept[p][0], kept[p + n - 1][0] + 1))
-            seen.add(run)
+        for size in dict.fromkeys((n, 1)):
+            for p in range(len(kept) - size + 1):
+                run = tuple(x for _, x in kept[p : p + size])
+                if size < n and (long_words is None or len(run[0].split()) < long_words):
+                    continue
+                if run in seen:
+                    gone |= set(range(kept[p][0], kept[p + size - 1][0] + 1))
+                seen.add(run)
         out[None if none else i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -44,12 +49,12 @@ def test_lines_by_sql(spark, sf):
     same_rows(spark, line_dedup.op9_line_dedup(spark, sf), line_dedup.SQL, sf)
 
 
-@pytest.mark.parametrize("n", [2, 3])
-def test_lines_by_brute_force(spark, n):
+@pytest.mark.parametrize(("n", "long_words"), [(2, None), (3, None), (2, 2), (4, 3), (1, None)])
+def test_lines_by_brute_force(spark, n, long_words):
     rng = random.Random(n)
-    rows = ODD + [(100 + k, "\n".join(rng.choice(["u", "v", "w", "", " v "]) + rng.choice("12") for _ in range(rng.randint(0, 12)))) for k in range(60)]
-    expected = brute_lines(rows, n)
-    got = line_dedup.delete_repeated_runs(frame(spark, rows), min_lines=n)
+    rows = ODD + [(100 + k, "\n".join(rng.choice(["u", "v", "w", "", " v ", "u v ", "x y\tz "]) + rng.choice("12") for _ in range(rng.randint(0, 12)))) for k in range(60)]
+    expected = brute_lines(rows, n, long_words)
+    got = line_dedup.delete_repeated_runs(frame(spark, rows), min_lines=n, long_words=long_words)
     assert got.columns == frame(spark, rows).columns
     found = Counter((r["doc_id"], r["text"]) for r in got.collect())
     want = Counter()
@@ -63,11 +68,23 @@ def test_lines_by_brute_force(spark, n):
     assert all(r["n_chars"] == len(r["text"]) for r in got.where("text is not null").collect())
 
 
-def test_the_stage_deletes_single_lines_by_brute_force(spark, sf):
+def test_windows_select_guaranteed_fingerprints():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 50, 400).astype(np.uint64)
+    for window in (1, 2, 5):
+        sel = line_dedup.winnowed(h, window)
+        for s, p in enumerate(sel.tolist()):
+            part = h[s : s + window].tolist()
+            assert s <= p < s + window and h[p] == min(part) and p == s + window - 1 - part[::-1].index(min(part))
+    assert len(np.unique(line_dedup.winnowed(rng.permutation(3000).astype(np.uint64), 9))) < 0.3 * 3000
+    assert not len(line_dedup.winnowed(h[:3], 4))
+
+
+def test_the_stage_deletes_runs_and_long_single_lines_by_brute_force(spark, sf):
     rng = random.Random(1)
-    rows = [x for x in dict.fromkeys(ODD) if x[1] is not None] + [(100 + k, "\n".join(rng.choice(["u", "v", "w", "", " v "]) + rng.choice("123456789") for _ in range(rng.randint(0, 4)))) for k in range(40)]
+    rows = [x for x in dict.fromkeys(ODD) if x[1] is not None] + [(100 + k, "\n".join(rng.choice(["u", "v", "w", "", " v ", "p q r "]) + rng.choice("123456789") for _ in range(rng.randint(0, 4)))) for k in range(40)]
     rows += [(200, "a1\nhot line of boilerplate\na2"), (201, "b1\nhot line of boilerplate\nb2"), (202, "hot line of boilerplate")]
-    expected = brute_lines(rows, 1)
+    expected = brute_lines(rows, line_dedup.MIN_LINES, line_dedup.LONG_WORDS)
     got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.line_deduplication(spark, frame(spark, rows), sf).collect()}
     assert got == {(i, rest) for (i, t), rest in expected.items() if rest == t or rest.strip(" \t\r\n")}
     assert {(200, "a1\nhot line of boilerplate\na2"), (201, "b1\nb2")} <= got and not any(i == 202 for i, _ in got)
