@@ -16,8 +16,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes lines that stood earlier, single ones too; a document of which nothing remains goes."""
-    return line_dedup.delete_repeated_runs(docs, min_lines=1)
+    """Deletes runs of two lines that stood earlier, and single lines of three words; a document of which nothing remains goes."""
+    return line_dedup.delete_repeated_runs(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ _UNNAMED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; only where it is unset, as in tests, a temporary folder."""
+    """What ``spark.checkpoint.dir`` names; only in local mode, as in tests, it may be unset, and a temporary folder serves."""
     app = spark.sparkContext.applicationId
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     named = spark.conf.get("spark.checkpoint.dir", None) or _UNNAMED.get(app) or _UNNAMED.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexispark-"))
     return f"{named.rstrip('/')}/{app}"
 
