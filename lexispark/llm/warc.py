@@ -27,6 +27,8 @@ from lexispark.llm.common import table, text_slices
 FIELDS = {1: 5, 2: 10}
 #: Pages that are written to an archive of each version at most.
 ARCHIVE_PAGES = 64
+#: Bytes that are decompressed at once.
+CHUNK = 1 << 20
 #: Bytes of records that are handed on at once.
 BATCH_BYTES = 16_000_000
 #: Date of the page with id 0 in archives made of pages; each later one is a minute later.
@@ -56,19 +58,57 @@ def record_id(uri: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{uri} {date} {digest}'.encode()).digest(), version=3)}>"
 
 
-def unzipped(content: bytes) -> bytes:
-    """The members of a gzip file one after the other; other content as it is."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-        out.append(stream.decompress(content) + stream.flush())
-        content = stream.unused_data
-    return b"".join(out) + content
+MAGIC = b"\x1f\x8b\x08"
 
 
-def arc_records(content: bytes) -> Iterator[tuple[int, list[str], bytes, str | None]]:
+def members(content: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What each gzip member of a file holds, and whether it is whole; other content is one whole member.
+
+    A damaged member gives what could be read of it, and reading goes on at the next place that looks like a member's beginning.
+    """
+    if content[:2] != MAGIC[:2]:
+        yield content, True
+        return
+    at = 0
+    while at < len(content):
+        if content[at : at + 2] != MAGIC[:2]:
+            # padding between members, or what a damaged one left
+            at = content.find(MAGIC, at)
+            if at < 0:
+                return
+        stream, out, here = zlib.decompressobj(31), [], at
+        try:
+            while not stream.eof and here < len(content):
+                out.append(stream.decompress(content[here : here + CHUNK]))
+                here += CHUNK
+            whole = stream.eof
+        except zlib.error:
+            whole = False
+        yield b"".join(out), whole
+        if whole:
+            at = min(here, len(content)) - len(stream.unused_data)
+        else:
+            following = content.find(MAGIC, at + 1)
+            at = following if following > 0 else len(content)
+
+
+def archive_records(content: bytes) -> Iterator[tuple[int, list[str], bytes, str | None]]:
+    """The records of all members: an error hides the rest of its member, and no other."""
+    version = 1
+    for data, whole in members(content):
+        last = None
+        for last in arc_records(data, version):
+            version = last[0]
+            if whole or last[3] is None:
+                yield last
+        if not whole:
+            # what stands in the way is the damage, whatever the record's own state
+            yield version, last[1][:1] if last is not None else [""], b"", "gzip"
+
+
+def arc_records(content: bytes, version: int = 1) -> Iterator[tuple[int, list[str], bytes, str | None]]:
     """(version, header fields, block, error) of each record. After an error that hides where the next begins, none follow."""
-    at, version = 0, 1
+    at = 0
     while at < len(content):
         if content[at : at + 1] in b"\r\n":
             at += 1
@@ -95,7 +135,7 @@ def arc_records(content: bytes) -> Iterator[tuple[int, list[str], bytes, str | N
 
 def to_warc(archive: str | None, version: int, fields: list[str], block: bytes, error: str | None) -> tuple:
     """A row of SCHEMA. A broken header gives the error and nothing else; a truncated block is kept as far as it goes."""
-    if error == "header":
+    if error in ("header", "gzip"):
         return archive, version, None, None, None, fields[0], None, None, None, None, None, None, error, None
     uri, ip, stamp, mime = fields[:4]
     date = warc_date(stamp)
@@ -130,9 +170,11 @@ def to_warc(archive: str | None, version: int, fields: list[str], block: bytes,
 def convert_archives(archives: DataFrame, *, name_col: str = "archive", content_col: str = "content") -> DataFrame:
     """One row for each ARC record: its WARC fields, and the whole ``record`` in bytes.
 
-    Archives may be gzip files of any number of members. ``error`` is null, or ``header`` (a line without the fields of its version: the
-    line is in ``target_uri``, and what follows can't be read), ``truncated`` (less than the declared length) or ``date``
-    (no moment; ``warc_date`` is null). Null or empty contents give no rows, repeated archives their rows each time;
+    Archives may be gzip files of any number of members, read member by member. ``error`` is null, or ``header`` (a line
+    without the fields of its version: the line is in ``target_uri``, and what follows in the member can't be read),
+    ``truncated`` (less than the declared length), ``gzip`` (a damaged member: the last URI that could be read of it is in
+    ``target_uri``, records before the damage and other members have their rows) or ``date`` (no moment; ``warc_date`` is
+    null). Null or empty contents give no rows, repeated archives their rows each time;
     other columns aren't read.
     """
     types = [pa.string(), pa.int32(), *[pa.string()] * 7, pa.int64(), *[pa.string()] * 3, pa.binary()]
@@ -145,7 +187,7 @@ def convert_archives(archives: DataFrame, *, name_col: str = "archive", content_
         for batch in batches:
             for i in range(batch.num_rows):
                 name, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for version, fields, block, error in arc_records(unzipped(content or b"")):
+                for version, fields, block, error in archive_records(content or b""):
                     rows.append(to_warc(name, version, fields, block, error))
                     size += len(block)
                     if size > BATCH_BYTES:
@@ -211,9 +253,12 @@ def pages_to_arc(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, written as ARC files of both versions and converted; the archives' own descriptions don't count as pages."""
+    """The pages, written as ARC files of both versions and converted; the archives' own descriptions don't count as pages.
+
+    ``record`` is the whole WARC record; all of it is UTF-8 here. Pages of which id, url or html is null give no row.
+    """
     rows = convert_archives(pages_to_arc(table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo' OR warc_type IS NULL")
-    return rows.select(*[n for n in NAMES if n not in ("archive", "record")], F.md5("record").alias("record_md5"))
+    return rows.select(*[n for n in NAMES if n not in ("archive", "record")], F.decode("record", "UTF-8").alias("record"))
 
 
 _CRLF = "chr(13) || chr(10)"
@@ -231,9 +276,9 @@ done AS (
   SELECT *, '<urn:uuid:' || u[1:8] || '-' || u[9:12] || '-3' || u[14:16] || '-' || substr('89ab', ((strpos('0123456789abcdef', u[17]) - 1) % 4 + 1)::INT, 1) || u[18:20] || '-' || u[21:32] || '>' AS record_id FROM ids)
 SELECT (1 + k % 2)::INT AS arc_version, 'response' AS warc_type, record_id, warc_date, url AS target_uri, ip_address,
   'application/http; msgtype=response' AS content_type, 'text/html' AS payload_type, strlen(block)::BIGINT AS content_length, block_digest, payload_digest, NULL::VARCHAR AS error,
-  md5('WARC/1.0' || {_CRLF} || 'WARC-Type: response' || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Date: ' || warc_date || {_CRLF} || 'WARC-Target-URI: ' || url || {_CRLF}
+  'WARC/1.0' || {_CRLF} || 'WARC-Type: response' || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Date: ' || warc_date || {_CRLF} || 'WARC-Target-URI: ' || url || {_CRLF}
     || 'WARC-IP-Address: ' || ip_address || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'WARC-Payload-Digest: ' || payload_digest || {_CRLF}
-    || 'WARC-Identified-Payload-Type: text/html' || {_CRLF} || 'Content-Type: application/http; msgtype=response' || {_CRLF} || 'Content-Length: ' || strlen(block) || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_md5
+    || 'WARC-Identified-Payload-Type: text/html' || {_CRLF} || 'Content-Type: application/http; msgtype=response' || {_CRLF} || 'Content-Length: ' || strlen(block) || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF} AS record
 FROM done
 """.replace("{b}", "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(b, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) & 31) + 1, 1)), '')").replace(
     "{p}", "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(p, (i // 4 * 5 + 1)::INT, 5))::INT >> (15 - i % 4 * 5)::INT) & 31) + 1, 1)), '')"

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexispark.llm import packing, topk_search, warc
@@ -39,27 +40,45 @@ def test_arc_parsing():
     assert kinds(one + b"\n" + two) == [*kinds(one), (2, "filedesc://two.arc", None), (2, "http://a.example/", None)]
     assert kinds(one[:-1])[-1][2] == "truncated"
     assert kinds(one + b"\nnonsense\n")[-1] == (1, "nonsense", "header")
-    assert kinds(b"") == [] and warc.unzipped(gzip.compress(one) + gzip.compress(two)) == one + two
+    assert kinds(b"") == []
     dns = b"dns:a.example 1.2.3.4 19990203040506 text/dns 5\n12345"
     (record,) = [warc.to_warc("x", *r) for r in warc.arc_records(dns)]
     assert record[2] == "resource" and record[4] == "1999-02-03T04:05:06Z" and record[9] == 5 and record[10] == warc.sha1(b"12345")
     assert [warc.warc_date(s) for s in ("1999", "199902", "19990230000000", "x", "")] == ["1999-01-01T00:00:00Z", "1999-02-01T00:00:00Z", None, None, None]
 
 
+def test_damaged_archives_cost_their_damaged_members(spark):
+    parts = [warc.arc_of([(k, f"http://a.example/{k}", f"page {k} " * 40)], 1 + k % 2, f"{k}.arc") for k in range(4)]
+    packed = [gzip.compress(p) for p in parts]
+    broken = packed[1][:60] + bytes(x ^ 0x55 for x in packed[1][60:80]) + packed[1][80:]
+    kinds = lambda data: [(r[1][0], r[3]) for r in warc.archive_records(data)]
+    of = lambda k: [(f"filedesc://{k}.arc", None), (f"http://a.example/{k}", None)]
+    assert kinds(b"".join(packed)) == of(0) + of(1) + of(2) + of(3) and kinds(b"".join(parts)) == kinds(b"".join(packed))
+    # a member that begins with a record and no version block follows the version of the one before
+    first, second = (gzip.compress(x) for x in (parts[1][: parts[1].index(b"\nhttp://") + 1], parts[1][parts[1].index(b"http://") :]))
+    assert kinds(first + second) == of(1)
+    found = kinds(packed[0] + broken + packed[2])
+    assert found[:2] == of(0) and found[-2:] == of(2) and ("gzip" in [e for _, e in found[2:-2]]) and len(found) <= 7
+    assert kinds(packed[0] + packed[1][:-20])[-1][1] == "gzip" and kinds(packed[0][:-20])[-1][1] == "gzip"
+    # a wrong length in one member leaves the others
+    wrong = gzip.compress(parts[1].replace(b" 0.0.0.0 ", b" 0.0.0.0 x "))
+    assert kinds(packed[0] + wrong + packed[2])[-2:] == of(2)
+    df = spark.createDataFrame([("a", packed[0] + broken + packed[2]), ("b", b"\x1f\x8b"), ("c", None), ("d", b"")], "archive string, content binary")
+    rows = warc.convert_archives(df).collect()
+    assert {r["archive"] for r in rows} == {"a", "b"} and [r["error"] for r in rows if r["archive"] == "b"] == ["gzip"]
+    assert sum(r["warc_type"] == "response" and r["error"] is None for r in rows) >= 2
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, id long, v string, length int"
 
 
-def brute_top(rows, k):
+def brute_top(rows, k, asks=lambda i: True):
     ok = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
-    most = Counter(len(v) for _, v in ok)
-    if not most:
-        return Counter()
-    d = min(most, key=lambda x: (-most[x], x))
-    ok = [x for x in ok if len(x[1]) == d]
     out = Counter()
     for a, (i, v) in enumerate(ok):
-        near = sorted((-round(float(v @ w), 9) + 0.0, j is None, j or 0) for b, (j, w) in enumerate(ok) if a != b)[:k]
-        out.update((i, n + 1, None if none else j, round(-s + 0.0, 6) + 0.0) for n, (s, none, j) in enumerate(near))
+        if asks(i):
+            near = sorted((-round(float(v @ w), 9) + 0.0, j is None, j or 0) for b, (j, w) in enumerate(ok) if a != b and len(v) == len(w))[:k]
+            out.update((i, n + 1, None if none else j, round(-s + 0.0, 6) + 0.0) for n, (s, none, j) in enumerate(near))
     return out
 
 
@@ -72,16 +91,23 @@ def test_top_k_by_brute_force(spark, spread, coordinate_from):
         v = centres[i % 6] + 0.2 * rng.normal(size=8)
         v *= np.exp(spread * rng.normal()) / np.sqrt((v * v).sum())
         rows.append((i, [float(x) for x in v.astype(np.float32)]))
-    rows += [rows[3], (200, rows[3][1]), (None, rows[4][1]), (201, [0.0] * 8), (202, None), (203, []), (204, [1.0, None] + [0.0] * 6), (205, [float("nan")] * 8), (206, [float("inf")] * 8), (207, [1.0, 2.0])]
+    rows += [rows[3], (200, rows[3][1]), (None, rows[4][1]), (201, [0.0] * 8), (202, None), (203, []), (204, [1.0, None] + [0.0] * 6), (205, [float("nan")] * 8), (206, [float("inf")] * 8), (207, [1.0, 2.0]), (208, [3.0, -2.0]), (209, [0.5, 0.5])]
     df = spark.createDataFrame([(i, v, 0, 1, "v", 2) for i, v in rows], VECTORS)
-    got = Counter((r["vec_id"], r["rank"], r["neighbour_id"], round(r["score"], 6) + 0.0) for r in topk_search.top_k(df, k=5, bucket_rows=40, coordinate_from=coordinate_from).collect())
-    assert got == brute_top(rows, 5)
+    plain = lambda out: Counter((r["vec_id"], r["rank"], r["neighbour_id"], round(r["score"], 6) + 0.0) for r in out.collect())
+    options = {"k": 5, "bucket_rows": 40, "coordinate_from": coordinate_from}
+    assert plain(topk_search.top_k(df, block_bytes=3000, **options)) == brute_top(rows, 5)
+    assert plain(topk_search.top_k(df, asks=F.col("vec_id") % 20 == 0, **options)) == brute_top(rows, 5, lambda i: i is not None and i % 20 == 0)
 
 
 def test_top_k_by_sql_and_of_few_rows(spark, sf):
     same_rows(spark, topk_search.op6_topk_search(spark, sf), topk_search.SQL, sf)
     one = spark.createDataFrame([(1, [1.0], 0, 1, "v", 2)], VECTORS)
-    assert topk_search.top_k(one).count() == 0 and topk_search.top_k(one.limit(0)).count() == 0
+    assert topk_search.top_k(one).count() == 0 and topk_search.top_k(one.limit(0)).count() == 0 and topk_search.top_k(one, asks=F.lit(False)).count() == 0
+
+
+def test_top_k_ships_no_pair_of_block_and_bucket(spark, sf, capsys):
+    topk_search.op6_topk_search(spark, sf).explain()
+    assert "Cartesian" not in capsys.readouterr().out
 
 
 def test_pruning_computes_fewer_products():
@@ -90,8 +116,9 @@ def test_pruning_computes_fewer_products():
     v[1000:] *= 0.01
     v = v[np.argsort(-np.sqrt((v * v).sum(1)))]
     parts = [topk_search.Bucket(n, np.arange(n * 500, n * 500 + 500), v[n * 500 : n * 500 + 500]) for n in range(4)]
+    asks = topk_search.Queries(parts[0].ids, parts[0].vectors, np.zeros(500, np.int64), np.arange(500))
     best = topk_search.Best(500, 5)
-    assert sum(topk_search.search_bucket(parts[0], best, b) for b in parts) <= 1000 * 500
+    assert sum(topk_search.search_bucket(asks, best, b) for b in parts) <= 1000 * 500
 
 
 def check_packing(rows, docs, size):
