@@ -1,13 +1,16 @@
 """Near duplicates by SimHash, found with navigable small-world graphs over Hamming distance.
 
 A text's signature has ``BITS`` bits: each is the majority vote of one bit of the hashes of its different words. Texts of one
-signature are one node. Nodes are cut into ``BANDS`` groups of shards by ``BAND_BITS`` bits of the signature each, and a
-node is a query in the one shard of every band that agrees with it there. Sending every query to every shard would cost
-the square of the corpus; two signatures within ``MAX_DISTANCE`` share a shard with a probability that :func:`audit`
-measures. Within a shard, nodes are put into a small-world graph, in blocks of ``SHARD_NODES`` that each serve all
-queries of the shard; the beam of a query expands until its worst member is farther than ``MAX_DISTANCE``, so that
-partners aren't capped. A shard too small for a graph to pay is compared pair by pair. Each edge is verified by its
-exact distance, and a shard sends on a spanning forest of its edges. The forests are united by label propagation.
+signature are one node. Nodes are cut into shards of about ``SHARD_NODES`` by some bits of the signature, several times
+over: in each band by other bits, and a node is a query in the one shard of every band that agrees with it there. Sending
+every query to every shard would cost the square of the corpus. The number of bits follows from the number of nodes, and that of
+bands from the bits, so that two signatures within ``MAX_DISTANCE`` share a shard with a probability of ``SHARE`` at least.
+
+Within a shard the nodes are put into a small-world graph, in blocks of ``GRAPH_NODES`` that each serve all queries of
+the shard. The beam of a query expands until its worst member is farther than ``MAX_DISTANCE``, so that partners aren't
+capped; a query with so many partners that its beam would pass ``WIDE_BEAM`` is compared with the whole block, which is
+then cheaper and misses none. Each edge is verified by its exact distance, and a shard sends on a spanning forest of its
+edges. The forests are united by label propagation. :func:`audit` measures recall against exact search.
 """
 
 from __future__ import annotations
@@ -26,14 +29,18 @@ BITS = 256
 WORDS = BITS // 64
 #: Differing bits of two near duplicates at most.
 MAX_DISTANCE = 48
-#: Groups of shards, and the bits that name a shard in each; BANDS * BAND_BITS of the BITS bits are used.
-BANDS, BAND_BITS = 16, 12
-#: A shard of fewer nodes is compared pair by pair, which is then faster than a graph.
-EXACT_NODES = 4096
-#: Nodes of one graph.
-SHARD_NODES = 200_000
-#: Links that a node makes, and the least beam of a search.
-LINKS, BEAM = 12, 24
+#: Nodes of a shard, about; bands cut into shards at least.
+SHARD_NODES, BANDS = 16_384, 6
+#: Probability at least that two nodes at MAX_DISTANCE share a shard.
+SHARE = 0.95
+#: A shard of so many nodes, of which a graph would link all with all, is compared pair by pair.
+COMPLETE_NODES = 64
+#: Nodes of one graph at most.
+GRAPH_NODES = 200_000
+#: Rows of a task that searches shards.
+TASK_ROWS = 65_536
+#: Links that a node makes, the least beam of a search, and the widest one.
+LINKS, BEAM, WIDE_BEAM = 12, 24, 96
 SALTS = [np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i in range(1, WORDS + 1)]
 
 
@@ -140,9 +147,14 @@ class SmallWorld:
         return ids, d
 
     def within(self, queries: np.ndarray, most: int, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) pairs within ``most``; a beam that is full of such nodes is doubled."""
+        """(query, node) pairs within ``most``; a beam that is full of such nodes is doubled, and one too wide is all nodes."""
         todo = np.arange(len(queries))
         while len(todo):
+            if beam > WIDE_BEAM:
+                for at in range(0, len(todo), step := max(1, 4_000_000 // self.n)):
+                    i, j = np.nonzero(distance(queries[todo[at : at + step], None], self.codes[None]) <= most)
+                    yield todo[at + i], j
+                return
             full = []
             step = max(1, 2_000_000 // (beam + self.width))
             for at in range(0, len(todo), step):
@@ -169,26 +181,48 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def shard_pairs(codes: np.ndarray, most: int, exact_nodes: int, shard_nodes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shard_pairs(codes: np.ndarray, most: int, complete_nodes: int = COMPLETE_NODES, graph_nodes: int = GRAPH_NODES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a shard's nodes within ``most``."""
     n = len(codes)
-    if n <= exact_nodes:
+    if n <= complete_nodes:
         for at in range(0, n, step := max(1, 4_000_000 // n)):
             i, j = np.nonzero(distance(codes[at : at + step, None], codes[None, at:]) <= most)
             yield i[j > i] + at, j[j > i] + at
         return
-    for at in range(0, n, shard_nodes):
-        graph = SmallWorld(codes[at : at + shard_nodes])
+    for at in range(0, n, graph_nodes):
+        graph = SmallWorld(codes[at : at + graph_nodes])
         for i, j in graph.within(codes[at:], most):
             yield i + at, j + at
 
 
-def _shard_edges(max_distance: int, exact_nodes: int, shard_nodes: int):
-    """(a, b, distance) of the spanning forest of each shard; rows come ordered by shard."""
+def band_bits(n: int, shard_nodes: int = SHARD_NODES, max_distance: int = MAX_DISTANCE) -> np.ndarray:
+    """The bits that name a shard in each band, a row for each; none if all ``n`` nodes are one shard."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / shard_nodes))))
+    if not bits:
+        return np.zeros((1, 0), np.int64)
+    agree = np.prod([(BITS - max_distance - i) / (BITS - i) for i in range(bits)])
+    bands = max(BANDS, int(np.ceil(np.log(1 - SHARE) / np.log(1 - agree))))
+    each, rng, rows = BITS // bits, np.random.default_rng(BITS), []
+    while len(rows) < bands:
+        rows += list(rng.permutation(BITS)[: each * bits].reshape(each, bits))
+    return np.array(rows[:bands])
+
+
+def shards_of(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The shard of each node in each band, all numbers unlike between bands."""
+    out = np.zeros((len(codes), len(bits)), np.int64)
+    for band, chosen in enumerate(bits):
+        for bit in chosen.tolist():
+            out[:, band] = out[:, band] << 1 | (codes[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)).astype(np.int64)
+    return out + (np.arange(len(bits)) << bits.shape[1])
+
+
+def _shard_edges(max_distance: int, complete_nodes: int, graph_nodes: int):
+    """(a, b) of the spanning forest of each shard; rows come ordered by shard."""
 
     def forest(ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         begin = np.cumsum(sizes) - sizes
-        small = sizes <= 64
+        small = sizes <= complete_nodes
         # small shards of one size together
         for size in np.unique(sizes[small]):
             rows = begin[small & (sizes == size)]
@@ -198,7 +232,7 @@ def _shard_edges(max_distance: int, exact_nodes: int, shard_nodes: int):
                 hit = distance(codes[a], codes[b]) <= max_distance
                 yield a[hit], b[hit]
         for start, size in zip(begin[~small], sizes[~small]):
-            for a, b in shard_pairs(codes[start : start + size], max_distance, exact_nodes, shard_nodes):
+            for a, b in shard_pairs(codes[start : start + size], max_distance, complete_nodes, graph_nodes):
                 yield a + start, b + start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,25 +288,29 @@ _WORDS = [f"w{k}" for k in range(WORDS)]
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, w0.., node) of each row whose text has a word; ``node`` names the signature."""
+    """(id, key, w0..) of each row whose text has a word."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, key binary, " + ", ".join(f"{w} long" for w in _WORDS)
-    return source.mapInArrow(_signatures, schema).withColumn("node", F.xxhash64(*_WORDS))
+    return source.mapInArrow(_signatures, schema)
 
 
-def candidate_edges(nodes: DataFrame, *, max_distance: int = MAX_DISTANCE, exact_nodes: int = EXACT_NODES, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """(a, b) node pairs within ``max_distance``, a spanning forest of each shard's."""
-    shards = []
-    for band in range(BANDS):
-        low = band * BAND_BITS
-        word, shift = low // 64, low % 64
-        bits = F.shiftrightunsigned(f"w{word}", shift)
-        if shift + BAND_BITS > 64:
-            bits = bits.bitwiseOR(F.shiftleft(f"w{word + 1}", 64 - shift))
-        shards.append((bits.bitwiseAND(F.lit((1 << BAND_BITS) - 1)) + F.lit(band << BAND_BITS)).cast("long"))
-    rows = nodes.select(F.explode(F.array(*shards)).alias("shard"), "node", *_WORDS).repartition(F.col("shard")).sortWithinPartitions("shard")
-    return rows.mapInArrow(_shard_edges(max_distance, exact_nodes, shard_nodes), "a long, b long").distinct()
+def candidate_edges(nodes: DataFrame, *, max_distance: int = MAX_DISTANCE, shard_nodes: int = SHARD_NODES, complete_nodes: int = COMPLETE_NODES, graph_nodes: int = GRAPH_NODES) -> DataFrame:
+    """(a, b) pairs of the ``nodes`` (node, w0..) within ``max_distance``, a spanning forest of each shard's."""
+    n = nodes.count()
+    bits = band_bits(n, shard_nodes, max_distance)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(k).to_numpy() for k in range(1, WORDS + 1)]
+            shards = shards_of(np.stack(words, 1).view(np.uint64), bits)
+            each = pa.array(np.repeat(np.arange(batch.num_rows), len(bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(shards.ravel()), *(c.take(each) for c in batch.columns)], names=["shard", "node", *_WORDS])
+
+    rows = nodes.select("node", *_WORDS).mapInArrow(spread, "shard long, node long, " + ", ".join(f"{w} long" for w in _WORDS))
+    tasks = max(1, min(len(bits) << bits.shape[1], -(-n * len(bits) // TASK_ROWS)))
+    placed = rows.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard")
+    return placed.mapInArrow(_shard_edges(max_distance, complete_nodes, graph_nodes), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,36 +331,39 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, max_distance: int, exact_nodes: int, shard_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """(key, id, group) of the rows with a signature, written; of each group that has several keys, its first (group, at)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, DataFrame]:
+    """(key, id, group) of the rows with a signature; of each group that has several keys, its first (group, at)."""
     rows = cut(signatures(docs, id_col=id_col, text_col=text_col))
-    nodes = rows.select("node", *_WORDS).dropDuplicates(["node"])
-    labels = components(candidate_edges(nodes, max_distance=max_distance, exact_nodes=exact_nodes, shard_nodes=shard_nodes))
-    grouped = rows.select("id", "key", "node").join(labels, "node", "left").select("id", "key", F.coalesce("label", "node").alias("group"))
+    # numbers of the signatures, fixed by being written: a hash would merge unlike ones now and then
+    nodes = cut(rows.select(*_WORDS).distinct().withColumn("node", F.monotonically_increasing_id()))
+    labels = components(candidate_edges(nodes, **options))
+    grouped = rows.join(nodes, _WORDS).select("id", "key", "node").join(labels, "node", "left").select("id", "key", F.coalesce("label", "node").alias("group"))
+    grouped = cut(grouped)
     place = F.struct(rank_of("id")["no_id"].alias("no_id"), F.col("id").alias("id"), F.col("key").alias("key"))
     firsts = grouped.groupBy("group").agg(F.count("*").alias("n_docs"), F.min(place).alias("at")).where("n_docs > 1")
     return grouped, firsts
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, exact_nodes: int = EXACT_NODES, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that have near duplicates: (doc_id, group_id, n_docs, kept).
 
     Two texts are near duplicates if their signatures differ in at most ``max_distance`` bits; groups are closed under
     this. ``group_id`` is the least id of the group (a null id comes last), ``n_docs`` the number of its rows, and
     ``kept`` marks the one that stays. Texts that are null or without a word belong to no group. Repeated rows are
-    members each; of rows equal in id and text all have the same ``kept``. Other columns aren't read.
+    members each; of rows equal in id and text all have the same ``kept``. Other columns aren't read. ``options`` are
+    those of :func:`candidate_edges`.
     """
-    grouped, firsts = _grouped(docs, id_col, text_col, max_distance, exact_nodes, shard_nodes)
+    grouped, firsts = _grouped(docs, id_col, text_col, options)
     return grouped.join(firsts, "group").select(F.col("id").alias("doc_id"), F.col("at.id").alias("group_id"), "n_docs", ((F.col("key") == F.col("at.key")) & F.col("id").eqNullSafe(F.col("at.id"))).alias("kept"))
 
 
-def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, exact_nodes: int = EXACT_NODES, shard_nodes: int = SHARD_NODES) -> DataFrame:
+def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of :func:`near_duplicates`; all columns and all other rows stay.
 
-    Of rows that are equal in id and text one stays, whichever comes first.
+    Of rows that are equal in id and text one stays, whichever comes first. Texts that are null or without a word stay.
     """
     (key,) = fresh(docs, "dup_key")
-    grouped, firsts = _grouped(docs, id_col, text_col, max_distance, exact_nodes, shard_nodes)
+    grouped, firsts = _grouped(docs, id_col, text_col, options)
     flagged = cut(grouped.join(firsts, "group").groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("key") != F.col("at.key")).alias("gone")))
     gone = flagged.where("gone").select(F.col("key").alias(key))
     rest = docs.withColumn(key, row_key(id_col, text_col)).join(gone.hint("shuffle_hash"), key, "left_anti")
@@ -332,19 +373,22 @@ def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def audit(codes: np.ndarray, max_distance: int = MAX_DISTANCE, exact_nodes: int = EXACT_NODES) -> float:
-    """Of the pairs that exact search finds among the signatures, the share that a shard of some band finds too."""
-    every = {(int(a), int(b)) for i, j in shard_pairs(codes, max_distance, len(codes), len(codes)) for a, b in zip(i, j)}
-    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
-    found: set[tuple[int, int]] = set()
-    for band in range(BANDS):
-        part = bits[:, band * BAND_BITS : (band + 1) * BAND_BITS].astype(np.int64) @ (1 << np.arange(BAND_BITS))
-        order = np.argsort(part, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            for i, j in shard_pairs(codes[rows], max_distance, exact_nodes, SHARD_NODES):
+def exact_pairs(codes: np.ndarray, max_distance: int = MAX_DISTANCE) -> set[tuple[int, int]]:
+    """All pairs of signatures within ``max_distance``, by comparing all with all."""
+    return {(int(a), int(b)) for i, j in shard_pairs(codes, max_distance, len(codes)) for a, b in zip(i, j)}
+
+
+def audit(codes: np.ndarray, max_distance: int = MAX_DISTANCE, shard_nodes: int = SHARD_NODES, complete_nodes: int = COMPLETE_NODES) -> float:
+    """Of the pairs that exact search finds among the signatures, the share that the graphs of the shards find."""
+    every, found = exact_pairs(codes, max_distance), set()
+    for shards in shards_of(codes, band_bits(len(codes), shard_nodes, max_distance)).T:
+        order = np.argsort(shards, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+            for i, j in shard_pairs(codes[rows], max_distance, complete_nodes):
                 found |= {(min(int(a), int(b)), max(int(a), int(b))) for a, b in zip(rows[i], rows[j]) if a != b}
     return len(found & every) / len(every) if every else 1.0
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of near duplicates among all ``documents``; texts that are null or without a word belong to none."""
     return near_duplicates(table(spark, sf_dir, "documents"))

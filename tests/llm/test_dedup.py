@@ -180,8 +180,40 @@ def test_near_duplicates_of_an_empty_table(spark):
 def test_recall_against_exact_search(spark, sf):
     rows = simhash.signatures(table(spark, sf.replace("0.001", "0.01"), "documents")).select(*simhash._WORDS).toPandas()
     codes = np.unique(rows.to_numpy().view(np.uint64), axis=0)
-    assert simhash.audit(codes) >= 0.9
-    assert simhash.audit(codes, exact_nodes=8) >= 0.9
+    assert simhash.audit(codes) >= 0.9  # one graph
+    assert simhash.audit(codes, shard_nodes=128) >= 0.9  # graphs of shards
+
+
+def test_groups_are_those_of_exact_search(spark, sf):
+    """The registered query against the components of all pairs within the distance: at least nine in ten members agree."""
+    docs = table(spark, sf, "documents")
+    rows = simhash.signatures(docs).toPandas().sort_values("id")
+    codes = rows[simhash._WORDS].to_numpy().view(np.uint64)
+    every = np.array(sorted(simhash.exact_pairs(codes)))
+    root = simhash._roots(len(codes), iter([(every[:, 0], every[:, 1])]))
+    ids = rows["id"].to_numpy()
+    size = Counter(root.tolist())
+    want = {int(ids[i]): (int(ids[r]), size[int(r)]) for i, r in enumerate(root) if size[int(r)] > 1}
+    for options in ({}, {"shard_nodes": 64, "complete_nodes": 8}):
+        got = {r["doc_id"]: (r["group_id"], r["n_docs"]) for r in simhash.near_duplicates(docs, **options).collect()}
+        assert set(got) <= set(want) and sum(got.get(k) == v for k, v in want.items()) >= 0.9 * len(want)
+    assert Counter(map(tuple, simhash.op7_simhash(spark, sf).select("doc_id", "kept").collect())) == {(k, k == v[0]): 1 for k, v in {r["doc_id"]: (r["group_id"],) for r in simhash.near_duplicates(docs).collect()}.items()}
+
+
+def test_bands_share_shards_as_promised():
+    assert simhash.band_bits(1000).shape == (1, 0) and not simhash.shards_of(np.zeros((3, 4), np.uint64), simhash.band_bits(1000)).any()
+    rng = np.random.default_rng(5)
+    for n in (30_000, 250_000, 10**7, 10**10):
+        bits = simhash.band_bits(n)
+        assert len(bits) >= simhash.BANDS and all(len(set(b)) == len(b) for b in bits.tolist()) and n / 2 ** bits.shape[1] <= simhash.SHARD_NODES
+        a = rng.integers(0, 2**63, (600, 4), dtype=np.uint64)
+        flips = np.zeros((600, 256), np.uint8)
+        for row in flips:
+            row[rng.permutation(256)[: simhash.MAX_DISTANCE]] = 1
+        b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+        shared = (simhash.shards_of(a, bits) == simhash.shards_of(b, bits)).any(1).mean()
+        assert shared >= simhash.SHARE - 0.03
+        assert len(np.unique(simhash.shards_of(a, bits) >> bits.shape[1])) == len(bits)
 
 
 def test_graph_against_exact_search():
@@ -194,8 +226,11 @@ def test_graph_against_exact_search():
     codes = np.unique(np.concatenate([base, near, hot]), axis=0)
     codes = codes[rng.permutation(len(codes))]
     pairs = lambda it: {(min(a, b), max(a, b)) for i, j in it for a, b in zip(i.tolist(), j.tolist()) if a != b}
-    exact = pairs(simhash.shard_pairs(codes, 10, len(codes), 1))
+    exact = pairs(simhash.shard_pairs(codes, 10, len(codes)))
     found = pairs(simhash.shard_pairs(codes, 10, 16, 400))
+    # a cluster wider than any beam is found whole
+    whole = pairs(simhash.shard_pairs(codes, 10, 16))
+    assert whole <= exact and len(whole) >= 0.99 * len(exact)
     assert found <= exact and len(found) >= 0.9 * len(exact) and len(exact) > 20_000
 
 
