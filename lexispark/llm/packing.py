@@ -4,7 +4,8 @@ Lengths are rounded up to ``BINS`` classes. A pattern is a few classes that toge
 repeated is fitted to the histogram of classes by non-negative least squares and rounded down to what the histogram
 has. What remains of the histogram is packed best-fit, class by class, so that all patterns together use up the
 histogram exactly. This plan depends on the histogram alone and its size on ``BINS`` alone; each piece then reads its
-place off the plan by its rank among the pieces of its class, which is counted block by block.
+place off the plan by its rank among the pieces of its class: its number in its partition, behind those of the partitions
+before. Texts are encoded once, token ids are written in two bytes each, and they are shuffled once, to their sequences.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut, table
+from lexispark.llm.chat import VOCABULARY, encoder
+from lexispark.llm.common import SLICE, cut, table, text_slices
 
 #: Tokens of a sequence.
 SEQ_TOKENS = 2048
@@ -25,10 +28,8 @@ SEQ_TOKENS = 2048
 BINS = 128
 #: Pieces of a pattern at most.
 PATTERN_PIECES = 3
-#: A word, or a mark that is neither letter, digit nor white space.
-LENGTH_RE = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
-#: Pieces whose ranks are counted together.
-BLOCK_PIECES = 100_000
+#: The id that the vocabulary leaves free, behind each document.
+END_OF_TEXT = 50256
 
 
 @cache
@@ -127,65 +128,140 @@ def plan(histogram: np.ndarray, pieces: int = PATTERN_PIECES) -> list[tuple[tupl
     return out + sorted(open_.items())
 
 
-def _places(plan_: list[tuple[tuple[int, ...], int]], bins: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: ranks at which an entry begins, its first sequence, its slot, the lengths before it in the sequence."""
-    rows: list[list[tuple[int, int, int, int]]] = [[] for _ in range(bins)]
+def _places(plan_: list[tuple[tuple[int, ...], int]], bins: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: ranks at which an entry begins, its first sequence, its slot."""
+    rows: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
     ranks, sequence = [0] * bins, 0
     for lengths, n in plan_:
-        before = 0
         for slot, size in enumerate(lengths):
-            rows[size - 1].append((ranks[size - 1], sequence, slot, before))
+            rows[size - 1].append((ranks[size - 1], sequence, slot))
             ranks[size - 1] += n
-            before += size
         sequence += n
-    return [tuple(np.array(r, np.int64).reshape(-1, 4).T) for r in rows]
+    return [tuple(np.array(r, np.int64).reshape(-1, 3).T) for r in rows]
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seq_tokens: int = SEQ_TOKENS, bins: int = BINS, pattern_pieces: int = PATTERN_PIECES, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """One row for each piece of a document: (doc_id, piece, tok_start, tok_end, seq_id, slot, seq_start).
+def _pieces(vocabulary, end_token: int | None, seq_tokens: int, unit: int, bins: int):
+    """(part, bin, k, doc_id, piece, n, ids) of the texts; k numbers the pieces of a class in their partition."""
 
-    Tokens are words and single marks. A document of more than ``seq_tokens`` is cut into full pieces and a rest; each
-    piece has one place: sequence ``seq_id``, in it the ``slot``-th piece, which begins at token ``seq_start``. The
-    pieces of a sequence never exceed ``seq_tokens``. Texts that are null or have no token give no rows. Repeated rows are packed
-    each; a null id stays null; other columns aren't read. ``seq_tokens`` must be a multiple of ``bins``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, part, made = encoder(vocabulary.value), TaskContext.get().partitionId(), np.zeros(bins + 1, np.int64)
+        kind = np.uint16 if max(encoding.n_vocab, (end_token or 0) + 1) <= 1 << 16 else np.uint32
+        tail = [] if end_token is None else [end_token]
+        for batch in batches:
+            for start, texts in text_slices(batch):
+                row, piece, size, ids = [], [], [], []
+                for i, text in enumerate(texts, start):
+                    if not text:
+                        continue
+                    tokens = np.array(encoding.encode_ordinary(text) + tail, kind)
+                    for p, at in enumerate(range(0, len(tokens), seq_tokens)):
+                        own = tokens[at : at + seq_tokens]
+                        row.append(i)
+                        piece.append(p)
+                        size.append(len(own))
+                        ids.append(own.tobytes())
+                if not row:
+                    continue
+                n = np.array(size, np.int32)
+                b = -(-n // unit)
+                order = np.argsort(b, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
+                k = np.empty(len(b), np.int64)
+                k[order] = np.arange(len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)])) + made[b[order]]
+                made += np.bincount(b, minlength=bins + 1)
+                columns = [pa.array(np.full(len(b), part, np.int32)), pa.array(b.astype(np.int32)), pa.array(k), batch.column(0).take(pa.array(row)), pa.array(np.array(piece, np.int32)), pa.array(n), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "bin", "k", "doc_id", "piece", "n", "ids"])
+
+    return run
+
+
+def _placed(places):
+    """(seq_id, slot) of the pieces by their class and rank, before their other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = np.zeros((2, len(size)), np.int64)
+            for b in np.unique(size):
+                rows = np.flatnonzero(size == b)
+                start, sequence, slot = places.value[b - 1]
+                at = np.searchsorted(start, rank[rows], side="right") - 1
+                out[:, rows] = sequence[at] + rank[rows] - start[at], slot[at]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), *batch.columns[2:]], names=["seq_id", "slot", "doc_id", "piece", "n", "ids"])
+
+    return run
+
+
+def _assembled(kind: type):
+    """Rows ordered by sequence and slot become one row a sequence."""
+
+    def give(table_: pa.Table) -> pa.RecordBatch:
+        seq = table_["seq_id"].to_numpy()
+        first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
+        bounds = pa.array(np.r_[first, len(seq)].astype(np.int32))
+        n = table_["n"].to_numpy().astype(np.int64)
+        tokens = np.frombuffer(b"".join(table_["ids"].to_pylist()), kind).astype(np.int32)
+        ends = np.cumsum(n)
+        begin = (ends - n)[first]
+        starts = ends - n - np.repeat(begin, np.diff(np.r_[first, len(seq)]))
+        lists = lambda values: pa.ListArray.from_arrays(bounds, values)
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(tokens)].astype(np.int32)), pa.array(tokens))
+        whole = lambda name: table_[name].combine_chunks()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(seq[first]), pa.array(np.diff(np.r_[begin, len(tokens)]).astype(np.int32)), ids, lists(whole("doc_id")), lists(whole("piece")), lists(pa.array(starts.astype(np.int32)))], names=["seq_id", "n_tokens", "input_ids", "doc_ids", "pieces", "starts"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                held.append(batch.slice(at, SLICE))
+                rows = pa.Table.from_batches(held)
+                seq = rows["seq_id"].to_numpy()
+                # the last sequence waits for what follows
+                done = int(np.searchsorted(seq, seq[-1]))
+                if done:
+                    yield give(rows.slice(0, done))
+                held = rows.slice(done).to_batches()
+        if held:
+            yield give(pa.Table.from_batches(held))
+
+    return run
+
+
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_token: int | None = END_OF_TEXT, seq_tokens: int = SEQ_TOKENS, bins: int = BINS, pattern_pieces: int = PATTERN_PIECES) -> DataFrame:
+    """One row for each sequence: (seq_id, n_tokens, input_ids, doc_ids, pieces, starts).
+
+    A document is its tokens in the byte-level BPE of ``vocabulary``, that of the chat formatting, and ``end_token`` behind them (None: nothing). One
+    of more than ``seq_tokens`` is cut into full pieces and a rest. Every piece stands in one sequence, whole, from
+    token ``starts[i]`` of ``input_ids`` on: piece ``pieces[i]`` of document ``doc_ids[i]``. No sequence exceeds
+    ``seq_tokens``. Texts that are null or empty give nothing. Repeated rows are packed each; a null id stays null;
+    other columns aren't read. ``seq_tokens`` must be a multiple of ``bins``.
     """
     if seq_tokens % bins:
         raise ValueError("seq_tokens must be a multiple of bins")
-    unit = seq_tokens // bins
+    spark, unit = docs.sparkSession, seq_tokens // bins
     id_type = docs.schema[id_col].dataType.simpleString()
-    # possessive in effect: the alternatives never backtrack into one another
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("h"), F.regexp_count(F.col(text_col), F.lit(LENGTH_RE)).alias("n")).where("n > 0")
-    starts = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / seq_tokens).cast("int"))
-    pieces = counted.select("doc_id", "h", "n", F.explode(starts).alias("piece")).select(
-        "doc_id", "h", "piece", (F.col("piece") * seq_tokens).alias("tok_start"), F.least("n", (F.col("piece") + 1) * seq_tokens).cast("int").alias("tok_end")
-    )
-    pieces = cut(pieces.withColumn("bin", F.ceil((F.col("tok_end") - F.col("tok_start")) / unit).cast("int")))
+    with open(vocabulary, "rb") as file:
+        ranks = file.read()
+    shared = spark.sparkContext.broadcast(ranks)  # a vocabulary, whatever the data's size
+    kind = np.uint16 if max(encoder(ranks).n_vocab, (end_token or 0) + 1) <= 1 << 16 else np.uint32
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    pieces = cut(source.mapInArrow(_pieces(shared, end_token, seq_tokens, unit, bins), f"part int, bin int, k long, doc_id {id_type}, piece int, n int, ids binary"))
+    sizes = pieces.groupBy("bin", "part").agg(F.count("*").alias("count"))
     histogram = np.zeros(bins, np.int64)
-    for r in pieces.groupBy("bin").count().collect():  # at most ``bins`` rows
+    for r in sizes.groupBy("bin").agg(F.sum("count").alias("count")).collect():  # at most ``bins`` rows
         histogram[r["bin"] - 1] = r["count"]
-    found = plan(histogram, pattern_pieces)
-    places = docs.sparkSession.sparkContext.broadcast(_places(found, bins))  # bounded by bins
-    blocks = max(1, -(-int(histogram.sum()) // block_pieces))
-    blocked = pieces.withColumn("block", F.pmod(F.xxhash64("h", "piece"), F.lit(blocks)).cast("int"))
-    sizes = blocked.groupBy("bin", "block").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("bin").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = blocked.withColumn("k", F.row_number().over(Window.partitionBy("bin", "block").orderBy("h", "piece"))).join(before, ["bin", "block"])
-    ranked = ranked.select("doc_id", "piece", "tok_start", "tok_end", "bin", (F.col("before") + F.col("k") - 1).alias("rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length = places.value
-        for batch in batches:
-            size, rank = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            out = np.zeros((3, len(size)), np.int64)
-            for b in np.unique(size):
-                rows = np.flatnonzero(size == b)
-                start, sequence, slot, offset = by_length[b - 1]
-                at = np.searchsorted(start, rank[rows], side="right") - 1
-                out[:, rows] = sequence[at] + rank[rows] - start[at], slot[at], offset[at] * unit
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(out[2].astype(np.int32))], names=["doc_id", "piece", "tok_start", "tok_end", "seq_id", "slot", "seq_start"])
-
-    return ranked.mapInArrow(place, f"doc_id {id_type}, piece int, tok_start int, tok_end int, seq_id long, slot int, seq_start int")
+    places = spark.sparkContext.broadcast(_places(plan(histogram, pattern_pieces), bins))  # bounded by bins
+    earlier = F.sum("count").over(Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each class and partition: Spark broadcasts it only below its threshold
+    before = sizes.select("bin", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    ranked = pieces.join(before, ["bin", "part"]).select("bin", (F.col("before") + F.col("k")).alias("rank"), "doc_id", "piece", "n", "ids")
+    placed = ranked.mapInArrow(_placed(places), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary")
+    ordered = placed.repartition(F.col("seq_id")).sortWithinPartitions("seq_id", "slot").select("seq_id", "doc_id", "piece", "n", "ids")
+    return ordered.mapInArrow(_assembled(kind), f"seq_id long, n_tokens int, input_ids array<int>, doc_ids array<{id_type}>, pieces array<int>, starts array<int>")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as packed sequences of token ids; null and empty texts give nothing."""
     return pack(table(spark, sf_dir, "documents"))
