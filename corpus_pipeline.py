@@ -11,27 +11,33 @@ from lexispark.llm.common import cut, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the detector, fitted on the labelled ones among ``docs``, calls toxic."""
+    """Drops the documents that the detector, fitted on the labelled ones among ``docs``, calls toxic.
+
+    Null and empty texts stay, repeated rows are judged alike; without labels of both classes nothing goes.
+    """
     return toxicity.remove_toxic(docs, toxicity.fit_detector(docs, table(spark, sf_dir, "labels")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes runs of two lines that stood earlier, and single lines of three words; a document of which nothing remains goes."""
+    """Deletes runs of two lines that stood earlier, and single lines of three words; a document of which nothing remains goes.
+
+    Null, empty and blank texts stay as they are; rows equal in id and text are one document and keep the same lines.
+    """
     return line_dedup.delete_repeated_runs(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one row of each group of near duplicates, exact copies and repeated rows included; null and wordless texts stay."""
     return simhash.remove_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts; every document stays."""
+    """Cuts benchmark passages out of the texts; every row stays, null and empty texts as they are."""
     return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each piece of each document its place in a training sequence."""
+    """Sequences of token ids, with the documents that each holds; null and empty texts give nothing, repeated rows stand each."""
     return packing.pack(docs)
 
 
