@@ -97,7 +97,7 @@ def plan(histogram: np.ndarray, pieces: int = PATTERN_PIECES) -> list[tuple[tupl
         # a pattern of one full piece is exact; the rest is fitted
         times = nnls((every * weight).T.astype(float), left / scale * weight) * scale
         for i in np.argsort(-times, kind="stable"):
-            row, n = every[i], int(round(times[i]))
+            row, n = every[i].astype(np.int64), int(round(times[i]))
             used = np.flatnonzero(row)
             n = min([n, *(left[used] // row[used])])
             if n > 0:

@@ -190,6 +190,7 @@ def test_plan_uses_up_the_histogram_and_is_near_best_fit(seed):
     assert used.tolist() == histogram.tolist()
     assert sum(n for _, n in plan) <= 1.02 * best_fit(sizes.tolist(), 32) + 2
     assert packing.plan(np.zeros(32, int)) == []
+    assert packing.plan(np.bincount([31], minlength=32) * 10**9) == [((32,), 10**9)]
 
 
 def test_nnls_by_conditions():
