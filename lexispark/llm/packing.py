@@ -5,7 +5,8 @@ repeated is fitted to the histogram of classes by non-negative least squares and
 has. What remains of the histogram is packed best-fit, class by class, so that all patterns together use up the
 histogram exactly. This plan depends on the histogram alone and its size on ``BINS`` alone; each piece then reads its
 place off the plan by its rank among the pieces of its class: its number in its partition, behind those of the partitions
-before. Texts are encoded once, token ids are written in two bytes each, and they are shuffled once, to their sequences.
+before. Texts are encoded once, token ids are written in two bytes each, and those of pieces that share a sequence are shuffled
+once, to it.
 """
 
 from __future__ import annotations
@@ -128,16 +129,16 @@ def plan(histogram: np.ndarray, pieces: int = PATTERN_PIECES) -> list[tuple[tupl
     return out + sorted(open_.items())
 
 
-def _places(plan_: list[tuple[tuple[int, ...], int]], bins: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: ranks at which an entry begins, its first sequence, its slot."""
-    rows: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
+def _places(plan_: list[tuple[tuple[int, ...], int]], bins: int) -> list[tuple[np.ndarray, ...]]:
+    """For each length: ranks at which an entry begins, its first sequence, its slot, and whether the sequence holds no other piece."""
+    rows: list[list[tuple[int, int, int, int]]] = [[] for _ in range(bins)]
     ranks, sequence = [0] * bins, 0
     for lengths, n in plan_:
         for slot, size in enumerate(lengths):
-            rows[size - 1].append((ranks[size - 1], sequence, slot))
+            rows[size - 1].append((ranks[size - 1], sequence, slot, len(lengths) == 1))
             ranks[size - 1] += n
         sequence += n
-    return [tuple(np.array(r, np.int64).reshape(-1, 3).T) for r in rows]
+    return [tuple(np.array(r, np.int64).reshape(-1, 4).T) for r in rows]
 
 
 def _pieces(vocabulary, end_token: int | None, seq_tokens: int, unit: int, bins: int):
@@ -175,19 +176,20 @@ def _pieces(vocabulary, end_token: int | None, seq_tokens: int, unit: int, bins:
     return run
 
 
-def _placed(places):
-    """(seq_id, slot) of the pieces by their class and rank, before their other columns."""
+def _placed(places, wanted: bool):
+    """(seq_id, slot) of the pieces by their class and rank, before their other columns: of those alone in their sequence, or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = np.zeros((2, len(size)), np.int64)
+            out = np.zeros((3, len(size)), np.int64)
             for b in np.unique(size):
                 rows = np.flatnonzero(size == b)
-                start, sequence, slot = places.value[b - 1]
+                start, sequence, slot, alone = places.value[b - 1]
                 at = np.searchsorted(start, rank[rows], side="right") - 1
-                out[:, rows] = sequence[at] + rank[rows] - start[at], slot[at]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), *batch.columns[2:]], names=["seq_id", "slot", "doc_id", "piece", "n", "ids"])
+                out[:, rows] = sequence[at] + rank[rows] - start[at], slot[at], alone[at]
+            rest = pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), *batch.columns[2:]], names=["seq_id", "slot", "doc_id", "piece", "n", "ids"])
+            yield rest.filter(pa.array(out[2] == wanted))
 
     return run
 
@@ -257,9 +259,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     # a row for each class and partition: Spark broadcasts it only below its threshold
     before = sizes.select("bin", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["bin", "part"]).select("bin", (F.col("before") + F.col("k")).alias("rank"), "doc_id", "piece", "n", "ids")
-    placed = ranked.mapInArrow(_placed(places), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary")
-    ordered = placed.repartition(F.col("seq_id")).sortWithinPartitions("seq_id", "slot").select("seq_id", "doc_id", "piece", "n", "ids")
-    return ordered.mapInArrow(_assembled(kind), f"seq_id long, n_tokens int, input_ids array<int>, doc_ids array<{id_type}>, pieces array<int>, starts array<int>")
+    # pieces that fill a sequence stay where they are, the others meet
+    alone, together = (ranked.mapInArrow(_placed(places, x), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary") for x in (True, False))
+    ordered = together.repartition(F.col("seq_id")).sortWithinPartitions("seq_id", "slot")
+    schema = f"seq_id long, n_tokens int, input_ids array<int>, doc_ids array<{id_type}>, pieces array<int>, starts array<int>"
+    made = [part.select("seq_id", "doc_id", "piece", "n", "ids").mapInArrow(_assembled(kind), schema) for part in (alone, ordered)]
+    return made[0].unionAll(made[1])
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
