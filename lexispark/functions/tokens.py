@@ -6,6 +6,7 @@ an annotator of the caller's and are null otherwise.
 
 from __future__ import annotations
 
+import importlib
 import re
 from collections.abc import Callable, Iterable
 
@@ -119,12 +120,41 @@ def _lexical(text: str, lang: str | None, chunk_size: int | None) -> list[dict]:
     return out
 
 
-def annotate(df: DataFrame, *, text_col: str = "text", lang_col: str | None = None, lang: str = "en", chunk_size: int | None = None, annotator: Callable[[list[dict], str], list[dict]] | None = None, out_col: str = "tokens") -> DataFrame:
+Annotator = Callable[[list[dict], str], list[dict]]
+_ANNOTATORS: dict[str, Annotator] = {}
+
+
+def register_annotator(name: str, annotator: Annotator, *, force: bool = True) -> None:
+    """Makes an annotator known by a name."""
+    if name in _ANNOTATORS and not force:
+        raise ValueError(f"{name!r} is registered already")
+    _ANNOTATORS[name] = annotator
+
+
+def load_annotator(annotator: str | Annotator | None) -> Annotator | None:
+    """An annotator by its registered name or as ``module:function``; a function, or none, is itself."""
+    if annotator is None or callable(annotator):
+        return annotator
+    if annotator in _ANNOTATORS:
+        return _ANNOTATORS[annotator]
+    module, _, name = annotator.partition(":")
+    if not name:
+        raise ValueError(f"{annotator!r} is neither registered, {sorted(_ANNOTATORS)} are, nor of the form module:function")
+    return getattr(importlib.import_module(module), name)
+
+
+def resolve_lang(lang: str | Callable[[Column], Column], text: ColumnOrName) -> Column:
+    """The language of texts as a column: one for all, or what a function of the text gives."""
+    return lang(col(text)) if callable(lang) else F.lit(lang)
+
+
+def annotate(df: DataFrame, *, text_col: str = "text", lang_col: str | None = None, lang: str | Callable[[Column], Column] = "en", chunk_size: int | None = None, annotator: str | Annotator | None = None, out_col: str = "tokens") -> DataFrame:
     """``df`` with the annotated tokens of a text; null for null.
 
-    The language decides the stop words, row by row if ``lang_col`` names it. ``chunk_size`` cuts a text first, wherever
-    that falls. ``annotator`` gets a text's tokens and its language and returns them with linguistic attributes.
+    The language decides the stop words, row by row if ``lang_col`` names it or ``lang`` is a function of the text. ``chunk_size`` cuts a text first, wherever
+    that falls. ``annotator``, a function or what :func:`load_annotator` knows, gets a text's tokens and its language and returns them with linguistic attributes.
     """
+    annotator = load_annotator(annotator)
 
     @F.pandas_udf(TOKEN_TYPE)
     def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
@@ -137,7 +167,7 @@ def annotate(df: DataFrame, *, text_col: str = "text", lang_col: str | None = No
         return pd.Series([one(t, x) for t, x in zip(texts, langs)], dtype=object)
 
     # as it may not be repeated, no later expression takes it into itself, where it would run for every element
-    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col), F.col(lang_col) if lang_col else F.lit(lang)))
+    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col), F.col(lang_col) if lang_col else resolve_lang(lang, text_col)))
 
 
 def attach(tokens_col: ColumnOrName, **values: ColumnOrName) -> Column:
@@ -206,3 +236,9 @@ def merge_spans(tokens_col: ColumnOrName, spans_col: ColumnOrName) -> Column:
         return pd.Series([one(d, s) for d, s in zip(docs, spans)], dtype=object)
 
     return run(col(tokens_col), col(spans_col))
+
+
+def morph_labels(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """(label): the morphological features that the tokens of a table have, each once."""
+    keys = F.flatten(F.transform(F.filter(tokens_col, lambda t: t["morph"].isNotNull()), lambda t: F.map_keys(t["morph"])))
+    return df.select(F.explode(F.array_distinct(keys)).alias("label")).distinct()

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.functions.acronyms import is_acronym
+from lexispark.functions.acronyms import SHAPE, is_acronym
 from lexispark.functions.columns import ColumnOrName, col, let
 
 SPANS = "array<struct<start:int,end:int,text:string,lower:string,norm:string,lemma:string,label:string>>"
@@ -110,7 +110,7 @@ def ngrams(tokens: ColumnOrName, n: int | Iterable[int], *, filter_stops: bool =
     def of(size: int) -> Column:
         starts = F.when(F.size(doc) >= size, F.sequence(F.lit(1), F.size(doc) - (size - 1))).when(doc.isNotNull(), F.array().cast("array<int>"))
         parts = F.filter(F.transform(starts, lambda i: F.slice(doc, i, F.lit(size))), passes)
-        return frequent(F.transform(parts, _span), lambda s: s["lower"], min_freq)
+        return frequent(F.transform(parts, lambda part: _span(part)), lambda s: s["lower"], min_freq)
 
     return F.flatten(F.array(*map(of, sizes)))
 
@@ -521,7 +521,7 @@ def term_variants(terms: Iterable[str], acro_defs: dict[str, str] | None = None,
         pairs.setdefault(definition.lower(), acronym.lower())
     done: set[str] = set()
     out = []
-    for term in sorted(left, key=lambda t: (-len(t), t)):
+    for term in sorted(left, key=lambda t: (-len(t), " " in t, t)):  # a hyphen or slash before the blank that it may stand for
         if term in done:
             continue
         group = {term}

@@ -9,7 +9,7 @@ from lexispark.functions import normalize, remove, replace, similarity, tokens
 from lexispark.functions.acronyms import SHAPE, is_acronym
 from lexispark.functions.columns import make_pipeline
 from lexispark.functions.stopwords import STOP_WORDS
-from lexispark.operators import augment, extract, keyterms, triples
+from lexispark.operators import augment, extract
 from lexispark.plans.registry import query, table
 
 W = r"[\p{L}\p{M}\p{N}]+"
@@ -121,55 +121,6 @@ def _annotated(spark, sf_dir):
     return tokens.annotate(table(spark, sf_dir, "documents"), lang_col="lang")
 
 
-@query()
-def annotated_words(spark, sf_dir):
-    return _annotated(spark, sf_dir).select("doc_id", F.size("tokens").alias("n_tokens"), F.size(extract.words("tokens")).alias("n_words"), F.size(extract.words("tokens", filter_nums=True, min_freq=2)).alias("n_frequent"))
-
-
-@query()
-def annotated_ngrams(spark, sf_dir):
-    grams = _annotated(spark, sf_dir).select("doc_id", F.explode(extract.ngrams("tokens", (2, 3))).alias("g"))
-    return grams.groupBy("g.lower").agg(F.count("*").alias("n")).where("n > 1")
-
-
-@query()
-def bags_of_terms(spark, sf_dir):
-    return _annotated(spark, sf_dir).select("doc_id", F.explode(extract.to_bag_of_terms("tokens", by="lower", ngs=(1, 2), weighting="freq")).alias("term", "freq"))
-
-
-@query()
-def acronym_definitions(spark, sf_dir):
-    return _annotated(spark, sf_dir).select("doc_id", F.explode(extract.acronyms_and_definitions("tokens")).alias("acronym", "definition"))
-
-
-@query()
-def regex_matches(spark, sf_dir):
-    return _annotated(spark, sf_dir).select("doc_id", F.explode(extract.regex_matches("text", "tokens", r"[Ll]icensed under \w+", alignment_mode="expand")).alias("m")).select("doc_id", "m.start", "m.end", "m.text")
-
-
-@query()
-def token_matches(spark, sf_dir):
-    return _annotated(spark, sf_dir).select("doc_id", F.explode(extract.token_matches("tokens", "LOWER:license IS_PUNCT:bool(True):* LIKE_NUM:bool(True):?")).alias("m")).select("doc_id", "m.start", "m.end", "m.text")
-
-
-def _keyterms(method: str):
-    def run(spark, sf_dir):
-        ranked = keyterms.extract_keyterms("tokens", method, normalize="lower", include_pos=None)
-        return _annotated(spark, sf_dir).select("doc_id", F.posexplode(ranked).alias("rank", "t")).select("doc_id", "rank", "t.term", "t.score")
-
-    query(name=f"keyterms_{method}")(run)
-
-
-for _m in keyterms.METHODS:
-    _keyterms(_m)
-
-
-@query()
-def triples_of_unparsed_texts(spark, sf_dir):
-    """Without a parse there are no triples: a row for each document, with their number."""
-    return _annotated(spark, sf_dir).select("doc_id", F.size(triples.subject_verb_object_triples("tokens")).alias("n_triples"))
-
-
 @query()
 def augmented_texts(spark, sf_dir):
     df = _annotated(spark, sf_dir).withColumn("aug_toks", augment.to_aug_toks("tokens"))

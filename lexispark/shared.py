@@ -37,3 +37,33 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     sizes = placed.groupBy("_part").count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_part", "_k", "_n", "_before")  # a row for each partition
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any file system that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
+def put_lines(df: DataFrame, path: str) -> None:
+    """The rows of a table of one text column, as the lines of one named file; written by one task and renamed."""
+    spark, made = df.sparkSession, scratch(df.sparkSession)
+    df.coalesce(1).write.text(made)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(fs_path(made)) if s.getPath().getName().startswith("part-"))
+    fs.mkdirs(fs_path(path).getParent())
+    if not fs.rename(part, fs_path(path)):
+        raise OSError(f"{path} can't be written")

@@ -343,3 +343,9 @@ class LangIdData:
             return pd.Series([one(t, s) for t, s in zip(texts, seeds)], dtype=object)
 
         return self._long(df.select(F.explode(pieces("text", F.xxhash64("text", F.lit(seed)))).alias("text"), "lang"), min_len)
+
+    def ud(self, path: str, langs: Collection[str], min_len: int = 25, pattern: str = r"([a-z]{2,3})_[^/]*\.conllu$") -> DataFrame:
+        """The sentences of annotated treebanks, files such as ``de_x-ud-train.conllu``, by the comment lines ``# text = ...``."""
+        raw = self.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.conllu").text(path).where(F.col("value").startswith("# text = "))
+        rows = raw.select(F.substring("value", 10, 1 << 30).alias("text"), F.regexp_extract(F.input_file_name(), pattern, 1).alias("lang"))
+        return self._long(rows.where(F.col("lang").isin(*langs)), min_len)

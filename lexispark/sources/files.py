@@ -127,13 +127,14 @@ def read_json_mash(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, *, compression: str = "none", mode: str = "error", ignore_null: bool = False) -> None:
     """JSON lines; dates and timestamps in ISO form."""
-    df.write.mode(mode).json(path, compression=compression, dateFormat="yyyy-MM-dd", timestampFormat="yyyy-MM-dd'T'HH:mm:ss", ignoreNullFields=ignore_null)
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    df.write.mode(mode).options(timestampNTZFormat=iso).json(path, compression=compression, dateFormat="yyyy-MM-dd", timestampFormat=iso, ignoreNullFields=ignore_null)
 
 
 def to_json_document(df: DataFrame, *, sort_keys: bool = False) -> Column:
     """A row as compact JSON, its keys in order if asked for."""
     names = sorted(df.columns) if sort_keys else df.columns
-    return F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"})
+    return F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"})
 
 
 def sniff_csv(head: str) -> tuple[str, str, bool]:
