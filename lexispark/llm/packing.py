@@ -29,6 +29,8 @@ SEQ_TOKENS = 2048
 BINS = 128
 #: Pieces of a pattern at most.
 PATTERN_PIECES = 3
+#: Rows of numbers before each partition, of some twenty bytes each, that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: The id that the vocabulary leaves free, behind each document.
 END_OF_TEXT = 50256
 
@@ -250,14 +252,16 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     kind = np.uint16 if max(encoder(ranks).n_vocab, (end_token or 0) + 1) <= 1 << 16 else np.uint32
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pieces = cut(source.mapInArrow(_pieces(shared, end_token, seq_tokens, unit, bins), f"part int, bin int, k long, doc_id {id_type}, piece int, n int, ids binary"))
-    sizes = pieces.groupBy("bin", "part").agg(F.count("*").alias("count"))
+    sizes = cut(pieces.groupBy("bin", "part").agg(F.count("*").alias("count")))
     histogram = np.zeros(bins, np.int64)
     for r in sizes.groupBy("bin").agg(F.sum("count").alias("count")).collect():  # at most ``bins`` rows
         histogram[r["bin"] - 1] = r["count"]
     places = spark.sparkContext.broadcast(_places(plan(histogram, pattern_pieces), bins))  # bounded by bins
     earlier = F.sum("count").over(Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    # a row for each class and partition: Spark broadcasts it only below its threshold
+    # a row for each class and partition: sent along while it is small, met by a shuffle of the pieces beyond
     before = sizes.select("bin", "part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    if sizes.count() <= BROADCAST_ROWS:
+        before = F.broadcast(before)
     ranked = pieces.join(before, ["bin", "part"]).select("bin", (F.col("before") + F.col("k")).alias("rank"), "doc_id", "piece", "n", "ids")
     # pieces that fill a sequence stay where they are, the others meet
     alone, together = (ranked.mapInArrow(_placed(places, x), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary") for x in (True, False))
