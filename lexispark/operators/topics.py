@@ -13,10 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.shared import written
+from lexispark.shared import put, written
 
 SEED = 1
 
@@ -124,16 +124,18 @@ class TopicModel:
         """(topic, rank, term, weight)"""
         return top_per(self.topic_terms(vocabulary), "topic", "term", topics, top_n)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, *, spark: SparkSession | None = None) -> None:
+        """To a folder of any file system that Spark reads."""
+        spark = spark or SparkSession.getActiveSession()
         if self.model == "lda":
             self._lda.write().overwrite().save(path + "/lda")
-        with open(path + "/model.json", "w") as file:
-            json.dump({"model": self.model, "n_topics": self.n_topics, "max_iter": self.max_iter, "components": self.components.tolist()}, file)
+        content = {"model": self.model, "n_topics": self.n_topics, "max_iter": self.max_iter, "components": self.components.tolist()}
+        put(spark, path + "/model.json", json.dumps(content).encode())
 
     @classmethod
-    def load(cls, path: str) -> TopicModel:
-        with open(path + "/model.json") as file:
-            x = json.load(file)
+    def load(cls, path: str, *, spark: SparkSession | None = None) -> TopicModel:
+        spark = spark or SparkSession.getActiveSession()
+        x = json.loads(spark.read.text(path + "/model.json", wholetext=True).first()[0])
         out = cls(x["model"], x["n_topics"], x["max_iter"], np.array(x["components"]))
         if out.model == "lda":
             from pyspark.ml.clustering import LocalLDAModel

@@ -39,7 +39,7 @@ def as_sql(template: str) -> str:
 def rows_sql(columns: str, *rows: tuple, order: bool = False) -> str:
     """Rows of templates for each item, as SQL: strings become expressions over the words, other values stay."""
     names = [c.strip() for c in columns.split(",")]
-    cell = lambda x: as_sql(x) if isinstance(x, str) else "NULL" if x is None else str(x)
+    cell = lambda x: as_sql(x) if isinstance(x, str) else "NULL" if x is None else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
     selects = [f"SELECT item_id, {', '.join(f'{cell(x)} AS {n}' for x, n in zip(r, names))} FROM f" for r in rows]
     return f"WITH {WORDS_SQL} " + " UNION ALL ".join(selects)
 

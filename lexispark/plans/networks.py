@@ -46,14 +46,9 @@ def _items(spark, sf_dir):
     return network.build_similarity_network(items, "cosine", id_col="item", value_col="w").where("weight > 0")
 
 
-@query()
-def pagerank_of_items(spark, sf_dir):
-    return network.rank_nodes_by_pagerank(_items(spark, sf_dir))
-
-
 @query()
 def bestcoverage_of_items(spark, sf_dir):
-    return network.rank_nodes_by_bestcoverage(_items(spark, sf_dir).where("weight > 0.15"), k=10)
+    return network.rank_nodes_by_bestcoverage(_items(spark, sf_dir), k=10)
 
 
 @query()

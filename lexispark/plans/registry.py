@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lexispark.plans import annotated, corpora, files, matrices, networks, records, statistics, texts  # noqa: E402, F401
+from lexispark.plans import annotated, corpora, files, matrices, networks, operations, records, statistics, texts  # noqa: E402, F401

@@ -100,5 +100,10 @@ def extend(df: DataFrame, extension: str, column: str, out_col: str | None = Non
     raise AttributeError(f"no extension {extension!r} is registered")
 
 
+def get_size(df: DataFrame) -> int:
+    """Bytes of a table as the optimiser estimates them, from files or what is cached; nothing is computed."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def clear_cache(spark: SparkSession) -> None:
     spark.catalog.clearCache()
