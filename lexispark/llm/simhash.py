@@ -41,6 +41,8 @@ GRAPH_NODES = 200_000
 TASK_ROWS = 65_536
 #: Links that a node makes, the least beam of a search, and the widest one.
 LINKS, BEAM, WIDE_BEAM = 12, 24, 96
+#: Cells of the arrays that walks and comparisons make at once, so that memory doesn't follow the size of a shard.
+WALK_CELLS, PAIR_CELLS = 250_000, 1_000_000
 SALTS = [np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i in range(1, WORDS + 1)]
 
 
@@ -110,7 +112,11 @@ class SmallWorld:
 
     def search(self, queries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest nodes (-1: none) below ``limit`` that a best-first walk finds, nearest first; distances."""
-        limit = self.n if limit is None else limit
+        step = max(1, WALK_CELLS // (beam + self.width))
+        parts = [self._walk(queries[at : at + step], beam, self.n if limit is None else limit) for at in range(0, max(1, len(queries)), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _walk(self, queries: np.ndarray, beam: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
         q, far = len(queries), BITS + 1
         ids, d = np.full((q, beam), -1, np.int32), np.full((q, beam), far, np.int16)
         seen = np.ones((q, beam), bool)
@@ -151,12 +157,12 @@ class SmallWorld:
         todo = np.arange(len(queries))
         while len(todo):
             if beam > WIDE_BEAM:
-                for at in range(0, len(todo), step := max(1, 4_000_000 // self.n)):
+                for at in range(0, len(todo), step := max(1, PAIR_CELLS // self.n)):
                     i, j = np.nonzero(distance(queries[todo[at : at + step], None], self.codes[None]) <= most)
                     yield todo[at + i], j
                 return
             full = []
-            step = max(1, 2_000_000 // (beam + self.width))
+            step = 65_536
             for at in range(0, len(todo), step):
                 rows = todo[at : at + step]
                 ids, d = self.search(queries[rows], beam)
@@ -185,7 +191,7 @@ def shard_pairs(codes: np.ndarray, most: int, complete_nodes: int = COMPLETE_NOD
     """Pairs of a shard's nodes within ``most``."""
     n = len(codes)
     if n <= complete_nodes:
-        for at in range(0, n, step := max(1, 4_000_000 // n)):
+        for at in range(0, n, step := max(1, PAIR_CELLS // n)):
             i, j = np.nonzero(distance(codes[at : at + step, None], codes[None, at:]) <= most)
             yield i[j > i] + at, j[j > i] + at
         return
@@ -227,7 +233,7 @@ def _shard_edges(max_distance: int, complete_nodes: int, graph_nodes: int):
         for size in np.unique(sizes[small]):
             rows = begin[small & (sizes == size)]
             i, j = np.triu_indices(size, 1)
-            for at in range(0, len(rows), step := max(1, 2_000_000 // max(1, len(i)))):
+            for at in range(0, len(rows), step := max(1, PAIR_CELLS // max(1, len(i)))):
                 a, b = rows[at : at + step, None] + i[None], rows[at : at + step, None] + j[None]
                 hit = distance(codes[a], codes[b]) <= max_distance
                 yield a[hit], b[hit]
