@@ -454,33 +454,38 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of ``documents`` that phrases of ``benchmark`` cover; null and empty texts have none."""
     return contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_SHORT = range(MIN_ITEM_TOKENS, NGRAM)
+#: The phrases of each length that begin at a token that the benchmark has: itself and those that follow, without a gap.
+_GRAMS = ", ".join(f"CASE WHEN lead(i, {n - 1}) OVER d = i + {n - 1} THEN {' || chr(32) || '.join(['w', *(f'lead(w, {j}) OVER d' for j in range(1, n))])} END AS g{n}" for n in (*_SHORT, NGRAM))
+_HITS = " UNION ALL ".join(f"SELECT doc_id, i, {n} AS n, item_id FROM grams JOIN phrases ON k = g{n} AND n = {n}" for n in (*_SHORT, NGRAM))
 SQL = rf"""
 WITH pieces AS (
   SELECT doc_id, regexp_extract_all(text, '{TOKEN_SQL}') AS m, regexp_split_to_array(text, '{TOKEN_SQL}') AS p
   FROM documents WHERE text IS NOT NULL),
 words AS (
   SELECT doc_id, unnest(range(len(m))) AS i, unnest(m) AS w, unnest(p[1:len(m)]) AS gap FROM pieces),
-placed AS (
+placed AS MATERIALIZED (
   SELECT doc_id, i, lower(w) AS w, length(w) AS n,
     sum(length(w) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS char_end FROM words),
 items AS (
   SELECT item_id, list_transform(regexp_extract_all(text, '{TOKEN_SQL}'), lambda x: lower(x)) AS m FROM benchmark WHERE text IS NOT NULL),
-phrases AS (
-  SELECT k, min(item_id) AS item_id FROM (
-    SELECT item_id, array_to_string(m[j:j + {NGRAM - 1}], ' ') AS k
-    FROM (SELECT item_id, m, unnest(range(1, len(m) - {NGRAM} + 2)) AS j FROM items WHERE len(m) >= {NGRAM})) GROUP BY k),
-grams AS (
-  SELECT doc_id, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {NGRAM - 1} FOLLOWING) AS k FROM placed),
-hits AS (SELECT doc_id, i, item_id FROM grams JOIN phrases USING (k)),
+phrases AS MATERIALIZED (
+  SELECT k, n, min(item_id) AS item_id FROM (
+    SELECT item_id, array_to_string(m[j:j + {NGRAM - 1}], ' ') AS k, {NGRAM} AS n
+    FROM (SELECT item_id, m, unnest(range(1, len(m) - {NGRAM} + 2)) AS j FROM items WHERE len(m) >= {NGRAM})
+    UNION ALL SELECT item_id, array_to_string(m, ' '), len(m) FROM items WHERE len(m) BETWEEN {MIN_ITEM_TOKENS} AND {NGRAM - 1}) GROUP BY k, n),
+known AS (SELECT DISTINCT unnest(m) AS w FROM items),
+grams AS MATERIALIZED (SELECT doc_id, i, {_GRAMS} FROM placed SEMI JOIN known USING (w) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+hits AS ({_HITS}),
 marked AS (
-  SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {NGRAM} THEN 1
-    WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS first FROM hits),
+  SELECT *, CASE WHEN i <= max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM hits),
 spans AS (
-  SELECT doc_id, min(i) AS tok_start, max(i) + {NGRAM} AS tok_end, count(*) AS n_phrases, min(item_id) AS first_item
-  FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g)
+  SELECT doc_id, min(i) AS tok_start, max(i + n) AS tok_end, count(*) AS n_phrases, min(item_id) AS first_item
+  FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i, n) AS g FROM marked) GROUP BY doc_id, g)
 SELECT s.doc_id, s.tok_start::INT AS tok_start, s.tok_end::INT AS tok_end, (a.char_end - a.n)::INT AS char_start, b.char_end::INT AS char_end,
   s.n_phrases::INT AS n_phrases, s.first_item
 FROM spans s JOIN placed a ON a.doc_id = s.doc_id AND a.i = s.tok_start JOIN placed b ON b.doc_id = s.doc_id AND b.i = s.tok_end - 1
