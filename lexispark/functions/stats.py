@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions.columns import ColumnOrName, col, let
-from lexispark.functions.tokens import sentences, words
+from lexispark.functions.tokens import WORD, sentences, words
 
 #: A run of vowels counts as a syllable.
 VOWELS = "[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ]+"
@@ -102,15 +102,33 @@ def n_polysyllable_words(w: ColumnOrName, *, min_n_syllables: int = 3) -> Column
     return F.size(F.filter(col(w), lambda x: syllables(x) >= min_n_syllables))
 
 
+def type_counts(w: Column) -> Column:
+    """How often each different word occurs: in sorted order a word's count is the distance to the next one's first place."""
+
+    def runs(s: Column) -> Column:
+        firsts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return let(firsts, lambda f: F.transform(f, lambda at, k: F.coalesce(F.get(f, k + 1), F.size(s)) - at))
+
+    return let(F.sort_array(w), runs)
+
+
+def _summed(counts: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda total, k: total + f(k))
+
+
 def sum_over_types(w: Column, f: Callable[[Column], Column]) -> Column:
-    """The sum of ``f`` (of a count, a double) over the different words: one pass over the sorted words."""
-    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+    """The sum of ``f`` (of a count, a double) over the different words."""
+    return let(type_counts(w), lambda counts: _summed(counts, f))
 
-    def step(a: Column, x: Column) -> Column:
-        same = a["word"].eqNullSafe(x)
-        return F.struct(x.alias("word"), F.when(same, a["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(same | (a["n"] == 0), a["total"]).otherwise(a["total"] + f(a["n"])).alias("total"))
 
-    return F.aggregate(F.array_sort(w), start, step, lambda a: F.when(a["n"] == 0, a["total"]).otherwise(a["total"] + f(a["n"])))
+def repeats(w: Column) -> Column:
+    """(i, before) of each place, in no order: the place at which the same word stood last, -1 if it hasn't."""
+    placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+
+    def one(s: Column) -> Column:
+        return F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), F.when(F.get(s, k - 1)["w"] == x["w"], F.get(s, k - 1)["i"]).otherwise(F.lit(-1)).alias("before")))
+
+    return let(placed, one)
 
 
 def entropy(w: ColumnOrName) -> Column:
@@ -121,7 +139,10 @@ def entropy(w: ColumnOrName) -> Column:
 
 def ttr(w: ColumnOrName, variant: str = "standard") -> Column:
     """Types to words: standard, root (Guiraud) or corrected (Carroll); 0 without words."""
-    n, types = n_words(w), n_unique_words(w)
+    return _ttr(n_words(w), n_unique_words(w), variant)
+
+
+def _ttr(n: Column, types: Column, variant: str) -> Column:
     below = {"standard": n, "root": F.sqrt(n), "corrected": F.sqrt(2 * n)}
     if variant not in below:
         raise ValueError(f"variant = {variant!r}; known are {sorted(below)}")
@@ -130,7 +151,10 @@ def ttr(w: ColumnOrName, variant: str = "standard") -> Column:
 
 def log_ttr(w: ColumnOrName, variant: str = "herdan") -> Column:
     """Logarithmic ratios: herdan, summer or dugast; 0 where the denominator is 0, null without words."""
-    n, types = n_words(w), n_unique_words(w)
+    return _log_ttr(n_words(w), n_unique_words(w), variant)
+
+
+def _log_ttr(n: Column, types: Column, variant: str) -> Column:
     log_n, log_t = F.log10(n), F.log10(types)
     found = {
         "herdan": lambda: F.try_divide(log_t, log_n),
@@ -146,15 +170,28 @@ def segmented_ttr(w: ColumnOrName, segment_size: int = 50, variant: str = "mean"
     """Mean ratio of types over segments (the last partial one left out) or over all sliding windows (``moving-avg``)."""
     if variant not in ("mean", "moving-avg"):
         raise ValueError(f"variant = {variant!r}; known are 'mean' and 'moving-avg'")
-    return let(F.transform(col(w), F.lower), lambda lower: _segmented(lower, segment_size, variant))
+    return let(repeats(F.transform(col(w), F.lower)), lambda places: _segmented(places, segment_size, variant))
 
 
-def _segmented(lower: Column, segment_size: int, variant: str) -> Column:
-    size = F.least(F.lit(segment_size), F.size(lower))
-    starts = F.sequence(F.lit(0), F.floor(F.size(lower) / size).cast("int") - 1) if variant == "mean" else F.sequence(F.lit(0), F.size(lower) - size)
-    place = (lambda i: i * size + 1) if variant == "mean" else (lambda i: i + 1)
-    ratios = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(lower, place(i), size))) / size)
-    return F.when(F.size(lower) > 0, F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(ratios)).when(F.size(lower) == 0, F.lit(0.0))
+def _segmented(places: Column, segment_size: int, variant: str) -> Column:
+    """From :func:`repeats`: a word is new in a segment or window if it stood last before the beginning.
+
+    A place j is in the windows that begin at max(0, j - size + 1) to min(j, n - size), and new in those that begin
+    behind its word's last place, so that all windows together cost one pass.
+    """
+    n = F.size(places)
+    size = F.least(F.lit(segment_size), n)
+
+    def new(p: Column) -> Column:
+        i, before = p["i"], p["before"]
+        if variant == "mean":
+            begin = F.floor(i / size) * size
+            return F.when((before < begin) & (begin + size <= n), 1).otherwise(0)
+        return F.greatest(F.lit(0), F.least(i, n - size) - F.greatest(F.lit(0), i - size + 1, before + 1) + 1)
+
+    parts = F.floor(n / size) if variant == "mean" else n - size + 1
+    total = F.aggregate(places, F.lit(0).cast("long"), lambda t, p: t + new(p))
+    return F.when(n > 0, total / (parts * size)).when(n == 0, F.lit(0.0))
 
 
 def _mtld(lower: list[str], min_ttr: float) -> float:
@@ -185,18 +222,34 @@ def mtld(w: ColumnOrName, min_ttr: float = 0.72) -> Column:
 
 def hdd(w: ColumnOrName, sample_size: int = 42) -> Column:
     """Expected ratio of types in a sample drawn without replacement."""
-    return let(F.transform(col(w), F.lower), lambda lower: _hdd(lower, sample_size))
+    lower = F.transform(col(w), F.lower)
+    return let(type_counts(lower), lambda counts: _hdd(counts, F.size(col(w)), sample_size))
 
 
-def _hdd(lower: Column, sample_size: int) -> Column:
-    n = F.size(lower)
+def _hdd(counts: Column, n: Column, sample_size: int) -> Column:
     s = F.least(F.lit(sample_size), n)
 
     def absent(k: Column) -> Column:
-        """That a word of count k isn't in the sample."""
-        return F.aggregate(F.sequence(F.lit(0), s - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.lit(0.0), (n - k - i).cast("double")) / (n - i))
+        """That a word of count k isn't in the sample: C(n - k, s) / C(n, s), which is C(n - s, k) / C(n, k); the shorter product."""
+        few, many = F.least(k, s), F.greatest(k, s)
+        return F.aggregate(F.sequence(F.lit(0), few - 1), F.lit(1.0), lambda p, i: p * F.greatest(F.lit(0), n - many - i) / (n - i))
+
+    return F.when(n > 0, _summed(counts, lambda k: (1 - absent(k)) / s)).when(n == 0, F.lit(0.0))
+
+
+def diversity_profile(w: ColumnOrName) -> Column:
+    """A struct of all measures of diversity but MTLD, the words sorted once for the moving and the segmented ratio and once for HDD."""
 
-    return F.when(n > 0, sum_over_types(lower, lambda k: (1 - absent(k)) / s)).when(n == 0, F.lit(0.0))
+    def made(lower: Column) -> Column:
+        return let(repeats(lower), lambda places: let(type_counts(lower), lambda counts: F.struct(*fields(places, counts))))
+
+    def fields(places: Column, counts: Column) -> list[Column]:
+        n, types = F.size(places), F.size(counts)
+        plain = {f"{v}_ttr" if v != "standard" else "ttr": _ttr(n, types, v) for v in ("standard", "root", "corrected")} | {v: _log_ttr(n, types, v) for v in ("herdan", "summer", "dugast")}
+        rest = {"segmented": _segmented(places, 50, "mean"), "moving": _segmented(places, 50, "moving-avg"), "hdd": _hdd(counts, n, 42)}
+        return [c.alias(k) for k, c in (plain | rest).items()]
+
+    return let(F.transform(col(w), F.lower), made)
 
 
 def counts(text: ColumnOrName, *, min_long: int = 7, min_poly: int = 3) -> Column:
@@ -204,12 +257,28 @@ def counts(text: ColumnOrName, *, min_long: int = 7, min_poly: int = 3) -> Colum
     return let(words(text), lambda w: _counts(text, w, min_long, min_poly))
 
 
+def syllables_by_word(text: ColumnOrName) -> Column:
+    """The runs of vowels of each word of a text: every run becomes one letter, and those are counted without a pattern for each word."""
+    short = F.regexp_extract_all(F.regexp_replace(F.lower(col(text)), VOWELS, "a"), F.lit(WORD), F.lit(0))
+    return F.transform(short, lambda x: F.length(x) - F.length(F.replace(x, F.lit("a"), F.lit(""))))
+
+
+def _sentence_count(text: ColumnOrName) -> Column:
+    """As many as :func:`sentences` gives."""
+    inner = r"[^.!?…\n]"
+    return F.regexp_count(col(text), F.lit(rf"(?:(?!{WORD}){inner})*+{WORD}{inner}*+[.!?…]*+"))
+
+
 def _counts(text: ColumnOrName, w: Column, min_long: int, min_poly: int) -> Column:
-    fields = {
-        "n_sents": n_sents(text), "n_words": n_words(w), "n_unique_words": n_unique_words(w), "n_chars": n_chars(w), "n_long_words": n_long_words(w, min_n_chars=min_long), "n_syllables": n_syllables(w),
-        "n_monosyllable_words": n_monosyllable_words(w), "n_polysyllable_words": n_polysyllable_words(w, min_n_syllables=min_poly), "sum_sq_chars": _total(F.transform(w, lambda x: F.length(x) * F.length(x))),
-    }
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
+    def made(lengths: Column, vowels: Column) -> Column:
+        n = F.size(lengths)
+        fields = {
+            "n_sents": _sentence_count(text), "n_words": n, "n_unique_words": n_unique_words(w), "n_chars": _total(lengths), "n_long_words": F.size(F.filter(lengths, lambda x: x >= min_long)), "n_syllables": F.aggregate(vowels, F.lit(0), lambda total, k: total + F.greatest(F.lit(1), k)),
+            "n_monosyllable_words": F.size(F.filter(vowels, lambda k: k <= 1)), "n_polysyllable_words": F.size(F.filter(vowels, lambda k: F.greatest(F.lit(1), k) >= min_poly)), "sum_sq_chars": F.aggregate(lengths, F.lit(0), lambda total, x: total + x * x),
+        }
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    return let(n_chars_per_word(w), lambda lengths: let(syllables_by_word(text), lambda vowels: made(lengths, vowels)))
 
 
 def _ratio(s: Column, a: str, b: str) -> Column:

@@ -64,7 +64,8 @@ _HALF = 0.500001
 
 @query(f"WITH {COUNTS} SELECT doc_id, {', '.join(f'floor(({_cast(f)}) * 1e5 + {_HALF}) / 1e5 AS {n}' for n, f in _FORMULAS.items())} FROM c WHERE n_words > 0 AND n_sents > 0")
 def readability(spark, sf_dir):
-    df = stats.text_stats(_docs(spark, sf_dir)).where("stats.n_words > 0 AND stats.n_sents > 0")
+    # a text with a word has a sentence; a condition on the counts would be moved below them and count everything twice
+    df = stats.text_stats(_docs(spark, sf_dir).where(F.col("text").rlike(W)))
     value = {n: f("stats") for n, f in stats.READABILITY.items()} | {"flesch_reading_ease": stats.flesch_reading_ease_by_lang("stats", "lang")}
     return df.select("doc_id", *[(F.floor(c * 1e5 + _HALF) / 1e5).alias(n) for n, c in value.items()])
 
@@ -75,19 +76,15 @@ k AS (SELECT doc_id, n, least(42, n) AS m, count(*)::DOUBLE AS k FROM (SELECT do
 h AS (SELECT doc_id, sum((1 - coalesce(list_product(list_transform(range(m::INT), lambda i: greatest(0, n - k - i) / (n - i))), 1)) / m) AS hdd FROM k GROUP BY doc_id)
 SELECT doc_id, round(t / n, 6) AS ttr, round(t / sqrt(n), 6) AS root_ttr, round(t / sqrt(2 * n), 6) AS corrected_ttr,
   round(CASE WHEN n = 1 THEN 0 ELSE log10(t) / log10(n) END, 6) AS herdan, round(CASE WHEN n = t THEN 0 ELSE log10(n) * log10(n) / (log10(n) - log10(t)) END, 6) AS dugast,
-  round(list_avg(list_transform(range(floor(n / s)::INT), lambda i: len(list_distinct(w[i * s + 1:i * s + s])) / s)), 6) AS segmented,
-  round(list_avg(list_transform(range((n - s)::INT + 1), lambda i: len(list_distinct(w[i + 1:i + s])) / s)), 6) AS moving, round(hdd, 6) AS hdd
+  round(list_sum(list_transform(range(floor(n / s)::INT), lambda i: len(list_distinct(w[i * s + 1:i * s + s])))) / (floor(n / s) * s), 6) AS segmented,
+  round(list_sum(list_transform(range((n - s)::INT + 1), lambda i: len(list_distinct(w[i + 1:i + s])))) / ((n - s + 1) * s), 6) AS moving, round(hdd, 6) AS hdd
 FROM n JOIN h USING (doc_id)"""
 
 
 @query(_DIVERSITY)
 def diversity(spark, sf_dir):
-    df = _docs(spark, sf_dir).select("doc_id", tokens.words("text").alias("w")).where(F.size("w") > 0)
-    value = {
-        "ttr": stats.ttr("w"), "root_ttr": stats.ttr("w", "root"), "corrected_ttr": stats.ttr("w", "corrected"), "herdan": stats.log_ttr("w"), "dugast": stats.log_ttr("w", "dugast"),
-        "segmented": stats.segmented_ttr("w"), "moving": stats.segmented_ttr("w", variant="moving-avg"), "hdd": stats.hdd("w"),
-    }
-    return df.select("doc_id", *[F.round(c, 6).alias(n) for n, c in value.items()])
+    df = _docs(spark, sf_dir).select("doc_id", tokens.words("text").alias("w")).where(F.size("w") > 0).select("doc_id", stats.diversity_profile("w").alias("d"))
+    return df.select("doc_id", *[F.round(f"d.{n}", 6).alias(n) for n in ("ttr", "root_ttr", "corrected_ttr", "herdan", "dugast", "segmented", "moving", "hdd")])
 
 
 @query()
