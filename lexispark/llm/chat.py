@@ -117,4 +117,5 @@ def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_co
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` as ids and loss masks; a null text is an empty content, a null role is ``unknown``."""
     return format_conversations(table(spark, sf_dir, "conversations"))

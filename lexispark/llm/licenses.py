@@ -235,4 +235,5 @@ def license_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices and texts in all ``documents``; null and empty texts have none."""
     return license_spans(table(spark, sf_dir, "documents"))

@@ -188,6 +188,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 tokens or more that repeat anywhere in ``documents``; null and shorter texts have none."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -296,3 +297,71 @@ def test_chat_round_trip(spark, sf):
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
     assert not re.search(r"<\|(im_start|im_end|endoftext)\|>", chat.escape(text))
+
+
+def brute_models(sample, everything):
+    """log P of each context of the sample in both classes, by dictionaries. ``sample`` counts (lang, word) in toxic and ordinary documents."""
+
+    def contexts(lang, word):
+        text = toxicity._start(lang) + word + "\x02"
+        return [text[max(0, i + 1 - toxicity.ORDER) : i + 1] for i in range(1, len(text))]
+
+    seen, all_, after = {}, Counter(), Counter()
+    for (lang, word), n in sample.items():
+        for c in contexts(lang, word):
+            seen[c] = [a + b for a, b in zip(seen.get(c, [0, 0]), n)]
+    for (lang, word), n in everything.items():
+        for c in contexts(lang, word):
+            all_[c] += n
+            after[c[:-1]] += n
+
+    def discount(counts):
+        once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    shared = {0: {"": 1 / (len({c[-1] for c in seen}) + 2)}}
+    for k in range(1, toxicity.ORDER):
+        before = {}
+        for c in seen:
+            if len(c) > k:
+                before.setdefault(c[-k:], set()).add(c[-k - 1])
+        n = {g: len(x) for g, x in before.items()}
+        d, total, types = discount(n.values()), Counter(), Counter()
+        for g, x in n.items():
+            total[g[:-1]] += x
+            types[g[:-1]] += 1
+        shared[k] = {g: max(x - d, 0) / total[g[:-1]] + d * types[g[:-1]] / total[g[:-1]] * shared[k - 1][g[1:]] for g, x in n.items()}
+    d = discount([all_[c] for c in seen])
+    kept = {c: max(all_[c] - d, 0) / after[c[:-1]] for c in seen}
+    left = Counter()
+    for c, x in kept.items():
+        left[c[:-1]] += x
+    both = {c: kept[c] + (1 - left[c[:-1]]) * shared[len(c) - 1][c[1:]] for c in seen}
+    out = {}
+    for k in (0, 1):
+        d, total, types = discount([n[k] for n in seen.values()]), Counter(), Counter()
+        for c, n in seen.items():
+            total[c[:-1]] += n[k]
+            types[c[:-1]] += n[k] > 0
+        for c, n in seen.items():
+            t = total[c[:-1]]
+            own = (max(n[k] - d, 0) + (d * types[c[:-1]] + toxicity.STRENGTH) * both[c]) / (t + toxicity.STRENGTH) if t else both[c]
+            out.setdefault(c, []).append(math.log(own))
+    return out, contexts
+
+
+def test_models_by_brute_force(spark):
+    rng = random.Random(8)
+    letters = "abcdeé"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    sample = {(rng.choice(["en", "de"]), word()): [rng.randint(0, 3), rng.randint(1, 4)] for _ in range(60)}
+    everything = {k: sum(n) + rng.randint(0, 5) for k, n in sample.items()} | {("en", word()): rng.randint(1, 4) for _ in range(40)}
+    contexts, counts = toxicity._contexts([toxicity._start(lang) + w for lang, w in sample], np.array(list(sample.values())))
+    texts = [(i, " ".join([w] * n), lang) for i, ((lang, w), n) in enumerate(everything.items())] + [(900, None, "en"), (901, "", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    model = toxicity.SpellingModels.fit(contexts, counts, *toxicity.counted_everywhere(docs, contexts))
+    want, cut = brute_models(sample, everything)
+    for (lang, w), _ in sample.items():
+        logs, n = model.log_likelihoods([toxicity._start(lang) + w])
+        expected = np.sum([want[c] for c in cut(lang, w)], 0)
+        assert n[0] == len(w) + 1 and np.allclose(logs[0], expected, atol=1e-4)
