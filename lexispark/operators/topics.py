@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +29,11 @@ def rows_of(matrix: DataFrame, value_col: str = "weight") -> DataFrame:
 
 
 def _vectors(rows: DataFrame, n_terms: int) -> DataFrame:
-    as_vector = F.udf(lambda i, v: SparseVector(n_terms, i, v), VectorUDT())
+    @F.pandas_udf(VectorUDT())
+    def as_vector(ids: pd.Series, values: pd.Series) -> pd.DataFrame:
+        # the fields of a sparse vector
+        return pd.DataFrame({"type": np.zeros(len(ids), np.int8), "size": np.full(len(ids), n_terms, np.int32), "indices": ids, "values": values})
+
     return rows.select("doc_id", as_vector("term_ids", "values").alias("features"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexispark import shared
 from lexispark.functions.tokens import lower_words
 from lexispark.operators import topics, vectorize
 from lexispark.plans.registry import query, table
@@ -77,12 +78,15 @@ def _n(spark, sf_dir) -> int:
 @query(f"""WITH {_TF}, {_DF}, x AS (SELECT *, df / {_N} AS p FROM df)
     SELECT term, df, round(sqrt(n), 6) AS sqrt_freq, round({_SMOOTH}, 6) AS smooth_idf, round({_BM}, 6) AS bm25_idf, round(CASE WHEN p < 1 THEN -p * log2(p) - (1 - p) * log2(1 - p) ELSE 0 END, 6) AS ic FROM x""")
 def term_statistics(spark, sf_dir):
-    n = _n(spark, sf_dir)
-    stats = _tf(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    p = F.col("df") / F.lit(float(n))
-    ic = F.when(p < 1, -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(F.lit(0.0))
-    idf = lambda kind: F.round(vectorize.idf_of(F.lit(float(n)), F.col("df"), kind), 6)
-    return stats.select("term", "df", F.round(F.sqrt("n"), 6).alias("sqrt_freq"), idf("smooth").alias("smooth_idf"), idf("bm25").alias("bm25_idf"), F.round(ic, 6).alias("ic"))
+    n, tf = _n(spark, sf_dir), shared.written(_tf(spark, sf_dir))
+    parts = (
+        vectorize.get_doc_freqs(tf), vectorize.get_term_freqs(tf, type_="sqrt").select("term", F.round("freq", 6).alias("sqrt_freq")), vectorize.get_information_content(tf, n_docs=n).select("term", F.round("ic", 6).alias("ic")),
+        *(vectorize.get_inverse_doc_freqs(tf, type_=k, n_docs=n).select("term", F.round("idf", 6).alias(f"{k}_idf")) for k in ("smooth", "bm25")),
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "term")
+    return out
 
 
 @query(f"WITH {_TF} SELECT doc_id, round(ln(sum(tf)) + 1, 6) AS length FROM tf GROUP BY doc_id")
@@ -102,9 +106,9 @@ def terms_by_ic(spark, sf_dir):
 
 def _topic_query(model: str):
     def run(spark, sf_dir):
-        fitted, matrix = vectorize.Vectorizer(idf_type="smooth", norm="l2", min_df=3, max_df=0.5, max_n_terms=3000).fit_transform(_docs(spark, sf_dir))
+        fitted, matrix = vectorize.Vectorizer(idf_type="smooth", norm="l2", min_df=3, max_df=0.5).fit_transform(_docs(spark, sf_dir))
         n = fitted.vocabulary.count()
-        out = topics.TopicModel(model, 8, 10).fit(matrix, n)
+        out = topics.TopicModel(model, 8).fit(matrix, n)
         return out.top_topic_terms(fitted.vocabulary, top_n=10).withColumn("weight", F.round("weight", 4))
 
     query(name=f"topics_{model}")(run)

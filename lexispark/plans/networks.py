@@ -35,10 +35,16 @@ def similarity_network(spark, sf_dir):
     return network.build_similarity_network(items, "jaccard", id_col="item_id", value_col="w").withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS (SELECT regexp_extract_all(lower(text), '{W}') AS w FROM documents), p AS (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM d WHERE len(w) > 1),
+    u AS (SELECT least(a, b) AS s, greatest(a, b) AS d, count(*)::DOUBLE AS w FROM p GROUP BY ALL), e AS MATERIALIZED (SELECT s, d, w FROM u UNION ALL SELECT d, s, w FROM u WHERE s <> d), o AS MATERIALIZED (SELECT s, sum(w) AS t FROM e GROUP BY s),
+    h AS MATERIALIZED (SELECT e.s, e.d, w / t AS w FROM e JOIN o USING (s)), n AS (SELECT count(*) AS n FROM o),
+    r AS (SELECT 0 AS k, s AS node, 1 / n::DOUBLE AS x FROM o, n UNION ALL SELECT k + 1, h.d, 0.85 * sum(h.w * r.x) + 0.15 / any_value(n.n) FROM r JOIN h ON h.s = r.node, n WHERE k < 40 GROUP BY k, h.d),
+    c AS (SELECT y.k, sum(abs(y.x - z.x)) AS c FROM r y JOIN r z ON y.node = z.node AND y.k = z.k + 1 GROUP BY y.k)
+    SELECT node, round(x, 9) AS score FROM r WHERE k = (SELECT min(k) FROM c, n WHERE c < n * 1e-6)""")
 def pagerank_of_words(spark, sf_dir):
+    """Until all ranks together change by less than a millionth of their number."""
     edges = network.build_cooccurrence_network(_docs(spark, sf_dir), window_size=2)
-    return network.pagerank_distributed(edges, max_iter=10)
+    return network.pagerank_distributed(edges).withColumn("score", F.round("score", 9))
 
 
 def _items(spark, sf_dir):
