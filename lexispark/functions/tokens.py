@@ -11,9 +11,11 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexispark.functions.columns import ColumnOrName, col, let
 from lexispark.functions.stopwords import stop_words
@@ -120,6 +122,53 @@ def _lexical(text: str, lang: str | None, chunk_size: int | None) -> list[dict]:
     return out
 
 
+def _lexical_array(texts: list[str | None], langs: list[str | None], chunk_size: int | None, kind: pa.DataType) -> pa.Array:
+    """What :func:`_lexical` gives of each text, as one Arrow array made column by column."""
+    offsets, n = [0], 0
+    i, idx, text, lower, ws, sent = [], [], [], [], [], []
+    first, punct, stop, num, title, upper, quote = [], [], [], [], [], [], []
+    for t, lang in zip(texts, langs):
+        if t is not None:
+            stops, begin, sentence, starts = stop_words(lang or ""), n, 0, True
+            for offset, piece in [(0, t)] if not chunk_size else [(a, t[a : a + chunk_size]) for a in range(0, len(t), chunk_size)]:
+                end = 0
+                for m in _TOKEN_PY.finditer(piece):
+                    at, x = m.start(), m.group()
+                    if n > begin:
+                        gap = piece[end:at]
+                        if gap:
+                            ws[-1] += gap
+                            if text[-1] in _ENDS or "\n" in gap:
+                                starts = True
+                    end = m.end()
+                    if starts and n > begin and x not in _ENDS:
+                        sentence += 1
+                    low = x.lower()
+                    i.append(n - begin)
+                    idx.append(offset + at)
+                    text.append(x)
+                    lower.append(low)
+                    ws.append("")
+                    sent.append(sentence)
+                    first.append(starts)
+                    punct.append(not x[0].isalnum())
+                    stop.append(low in stops)
+                    num.append(x[0].isdigit() and _NUMBER_PY.fullmatch(x) is not None)
+                    title.append(x.istitle())
+                    upper.append(x.isupper())
+                    quote.append(x in _QUOTES)
+                    starts = False
+                    n += 1
+                if n > begin:
+                    ws[-1] += piece[end:]
+        offsets.append(n)
+    made = {"i": i, "idx": idx, "text": text, "lower": lower, "norm": lower, "ws": ws, "sent_id": sent, "is_sent_start": first, "is_punct": punct, "is_space": [False] * n, "is_stop": stop, "like_num": num, "is_title": title, "is_upper": upper, "is_quote": quote}
+    fields = [kind.value_type.field(k) for k in range(kind.value_type.num_fields)]
+    columns = [pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type) for f in fields]
+    missing = pa.array([t is None for t in texts])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=kind, mask=missing)
+
+
 Annotator = Callable[[list[dict], str], list[dict]]
 _ANNOTATORS: dict[str, Annotator] = {}
 
@@ -156,15 +205,12 @@ def annotate(df: DataFrame, *, text_col: str = "text", lang_col: str | None = No
     """
     annotator = load_annotator(annotator)
 
-    @F.pandas_udf(TOKEN_TYPE)
-    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        def one(text: str | None, language: str | None) -> list[dict] | None:
-            if text is None:
-                return None
-            found = _lexical(text, language, chunk_size)
-            return annotator(found, language or "") if annotator else found
-
-        return pd.Series([one(t, x) for t, x in zip(texts, langs)], dtype=object)
+    @F.arrow_udf(TOKEN_TYPE)
+    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        kind, texts, langs = to_arrow_type(TOKEN_TYPE), texts.to_pylist(), langs.to_pylist()
+        if annotator is None:
+            return _lexical_array(texts, langs, chunk_size, kind)
+        return pa.array([None if t is None else annotator(_lexical(t, x, chunk_size), x or "") for t, x in zip(texts, langs)], kind)
 
     # as it may not be repeated, no later expression takes it into itself, where it would run for every element
     return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col), F.col(lang_col) if lang_col else resolve_lang(lang, text_col)))

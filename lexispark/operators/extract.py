@@ -10,9 +10,11 @@ import re
 from collections import Counter
 from collections.abc import Callable, Collection, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from lexispark.functions.acronyms import SHAPE, is_acronym
 from lexispark.functions.columns import ColumnOrName, col, let
@@ -22,14 +24,29 @@ NUMERIC_ENTITIES = ("ORDINAL", "CARDINAL", "MONEY", "QUANTITY", "PERCENT", "TIME
 KEYS = ("text", "lower", "norm", "lemma")
 
 
+def _plain(values: pa.Array) -> list:
+    """The values of an array; lists of structs become lists of dicts field by field, which is several times faster than one by one."""
+    if not (pa.types.is_list(values.type) and pa.types.is_struct(values.type.value_type)):
+        return values.to_pylist()
+    inner = values.values
+    names = [values.type.value_type.field(k).name for k in range(values.type.value_type.num_fields)]
+    rows = [dict(zip(names, row)) for row in zip(*(inner.field(k).to_pylist() for k in range(len(names))))]
+    if inner.null_count:
+        rows = [r if there else None for r, there in zip(rows, inner.is_valid().to_pylist())]
+    offsets = values.offsets.to_pylist()
+    return [rows[a:b] if there else None for a, b, there in zip(offsets, offsets[1:], values.is_valid().to_pylist())]
+
+
 def per_doc(returns: str):
     """A function of a document's tokens, as a list of dicts, made a column function."""
 
     def wrap(f: Callable) -> Callable[..., Column]:
         def call(*columns: ColumnOrName, **options) -> Column:
-            @F.pandas_udf(returns)
-            def run(*series: pd.Series) -> pd.Series:
-                return pd.Series([None if row[0] is None else f(*row, **options) for row in zip(*series)], dtype=object)
+            kind = to_arrow_type(DataType.fromDDL(returns))
+
+            @F.arrow_udf(returns)
+            def run(*arrays: pa.Array) -> pa.Array:
+                return pa.array([None if row[0] is None else f(*row, **options) for row in zip(*map(_plain, arrays))], kind)
 
             return run(*map(col, columns))
 
