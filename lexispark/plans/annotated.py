@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,32 +94,32 @@ def acronym_definitions(spark, sf_dir):
 # ---- of the parsed sentences
 
 
-def _exploded(c: Column, *fields: str):
-    """(item_id, fields...) of an array of structs over the parsed sentences."""
+def _exploded(c: Callable[[], Column], *fields: str):
+    """(item_id, fields...) of the array of structs that ``c`` makes, over the parsed sentences."""
 
     def run(spark, sf_dir):
-        rows = parsed(spark, sf_dir).select("item_id", F.explode(c).alias("x"))
+        rows = parsed(spark, sf_dir).select("item_id", F.explode(c()).alias("x"))
         kinds = dict(rows.select("x.*").dtypes)
         return rows.select("item_id", *[(F.array_join(f"x.{f}", " ") if kinds[f].startswith("array") else F.col(f"x.{f}")).alias(f) for f in fields])
 
     return run
 
 
-def _texts(c: Column, label: bool = False):
+def _texts(c: Callable[[], Column], label: bool = False):
     return _exploded(c, "text", *(["label"] if label else []))
 
 
-query(rows_sql("subject, verb, object", ("{a} {b}", "likes", "{d}"), ("{e}", "was seen", "{f} {g}")), "subject_verb_object_triples")(_exploded(triples.subject_verb_object_triples("tokens"), "subject", "verb", "object"))
-query(rows_sql("entity, cue, fragment", ("{h}", "is", "the {i}")), "semistructured_statements")(_exploded(triples.semistructured_statements("tokens", entity=r"\w+qh\b", cue="be"), "entity", "cue", "fragment"))
-query(rows_sql("speaker, cue, content", ("{k}", "said", '" {j} never sleeps well "')), "direct_quotations")(_exploded(triples.direct_quotations("tokens"), "speaker", "cue", "content"))
-query(rows_sql("text, label", ("{a} {b}", "ORG"), ("{d}", "DATE"), ("{i}", "GPE")), "entities")(_texts(extract.entities("tokens"), True))
-query(rows_sql("text, label", ("{d}", "DATE")), "numeric_entities")(_texts(extract.entities("tokens", include_types="NUMERIC"), True))
-query(rows_sql("text", *[(x,) for x in ("{a} {b}", "{c} {d}", "{e}", "{f}", "{g}", "{h}", "{i}", "{j}", "{k}")]), "noun_chunks")(_texts(extract.noun_chunks("tokens")))
+query(rows_sql("subject, verb, object", ("{a} {b}", "likes", "{d}"), ("{e}", "was seen", "{f} {g}")), "subject_verb_object_triples")(_exploded(lambda: triples.subject_verb_object_triples("tokens"), "subject", "verb", "object"))
+query(rows_sql("entity, cue, fragment", ("{h}", "is", "the {i}")), "semistructured_statements")(_exploded(lambda: triples.semistructured_statements("tokens", entity=r"\w+qh\b", cue="be"), "entity", "cue", "fragment"))
+query(rows_sql("speaker, cue, content", ("{k}", "said", '" {j} never sleeps well "')), "direct_quotations")(_exploded(lambda: triples.direct_quotations("tokens"), "speaker", "cue", "content"))
+query(rows_sql("text, label", ("{a} {b}", "ORG"), ("{d}", "DATE"), ("{i}", "GPE")), "entities")(_texts(lambda: extract.entities("tokens"), True))
+query(rows_sql("text, label", ("{d}", "DATE")), "numeric_entities")(_texts(lambda: extract.entities("tokens", include_types="NUMERIC"), True))
+query(rows_sql("text", *[(x,) for x in ("{a} {b}", "{c} {d}", "{e}", "{f}", "{g}", "{h}", "{i}", "{j}", "{k}")]), "noun_chunks")(_texts(lambda: extract.noun_chunks("tokens")))
 query(rows_sql("text", *[(x,) for x in ("{a} {b}", "{c} {d}", "{d}", "{i}", "{e}", "{f}", "{g}", "{h}", "{j}", "{k}")]), "terms_of_three_kinds")(
-    _texts(extract.terms("tokens", ngs=lambda t: extract.ngrams(t, 2, include_pos=("NOUN", "ADJ", "PROPN")), ents=True, ncs=True))
+    _texts(lambda: extract.terms("tokens", ngs=lambda t: extract.ngrams(t, 2, include_pos=("NOUN", "ADJ", "PROPN")), ents=True, ncs=True))
 )
-query(rows_sql("text", *[(f"{{{x}}}",) for x in "abcdefghijk"], ("{a} {b}",), ("{c} {d}",)), "ngram_candidates")(_texts(extract.get_ngram_candidates("tokens", (1, 2))))
-query(rows_sql("text", ("{a} {b}",), ("likes",), ("seen",), ("sleeps",), ("said",)), "pattern_candidates")(_texts(extract.get_pattern_matching_candidates("tokens", ["POS:NOUN POS:NOUN", "POS:VERB"])))
+query(rows_sql("text", *[(f"{{{x}}}",) for x in "abcdefghijk"], ("{a} {b}",), ("{c} {d}",)), "ngram_candidates")(_texts(lambda: extract.get_ngram_candidates("tokens", (1, 2))))
+query(rows_sql("text", ("{a} {b}",), ("likes",), ("seen",), ("sleeps",), ("said",)), "pattern_candidates")(_texts(lambda: extract.get_pattern_matching_candidates("tokens", ["POS:NOUN POS:NOUN", "POS:VERB"])))
 
 
 @query(rows_sql("text", *[(x,) for x in ("{a} {b}", "{c} {d}", "{e}", "{f}", "{g}", "{h}", "{i}", "{j}", "{k}")]))

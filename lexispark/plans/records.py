@@ -8,7 +8,9 @@ from lexispark.plans.registry import query, table
 from lexispark.shared import put, put_lines, scratch
 from lexispark.sources import datasets
 
-_MD5 = F.md5("text").alias("text_md5")
+def _md5():
+    return F.md5("text").alias("text_md5")
+
 
 
 def _docs(spark, sf_dir, **columns: str):
@@ -26,7 +28,7 @@ def capitol_words(spark, sf_dir):
     path = scratch(spark)
     _docs(spark, sf_dir, text="text", title="CAST(doc_id AS STRING)", date=_SPARK_DAY.format("1996-01-01", 7400), speaker_name="source", speaker_party="element_at(array('D', 'R', 'I', 'X'), CAST(doc_id % 4 + 1 AS INT))", congress="CAST(104 + doc_id % 11 AS INT)", chamber="element_at(array('Senate', 'House'), CAST(doc_id % 2 + 1 AS INT))").write.json(path)
     found = datasets.CapitolWords(spark, path).records(speaker_party={"D", "R"}, chamber="House", congress=(105, 107, 109, 111), date_range=("1997-02-03", None), min_len=200)
-    return found.select("title", _MD5)
+    return found.select("title", _md5())
 
 
 @query(f"""WITH d AS (SELECT doc_id, text, {_DAY.format('1946-11-18', 25000)} AS date, doc_id % 5 AS author, (doc_id % 14 + 1) AS area, ['conservative', 'liberal', 'unspecifiable'][doc_id % 3 + 1] AS way FROM documents)
@@ -37,7 +39,7 @@ def supreme_court(spark, sf_dir):
     _docs(spark, sf_dir, text="text", case_name="CAST(doc_id AS STRING)", decision_date=_SPARK_DAY.format("1946-11-18", 25000), decision_direction="element_at(array('conservative', 'liberal', 'unspecifiable'), CAST(doc_id % 3 + 1 AS INT))", maj_opinion_author="CAST(doc_id % 5 AS INT)", issue_area="CAST(doc_id % 14 + 1 AS INT)").write.json(path)
     cases = datasets.SupremeCourt(spark, path)
     found = cases.records(opinion_author={1, 2, 3}, decision_direction=("liberal", "conservative"), issue_area=(1, 4, 9), date_range=("1950-01-01", "2010-01-01"))
-    return cases.with_issue_names(found).select("case_name", _MD5, "issue_area_name")
+    return cases.with_issue_names(found).select("case_name", _md5(), "issue_area_name")
 
 
 def _items(spark, sf_dir) -> list:
@@ -57,7 +59,7 @@ def imdb(spark, sf_dir):
     for (subset, label), lines in urls.items():
         put(spark, f"{path}/{subset}/urls_{label}.txt", "\n".join(lines).encode())
     found = datasets.IMDB(spark, path).records(label=("pos", "neg"), rating_range=(3, None), min_len=1)
-    return found.select("subset", "label", "rating", "movie_id", _MD5)
+    return found.select("subset", "label", "rating", "movie_id", _md5())
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_replace(text, '[^\\p{L}\\p{N} .,]+', ' ', 'g') AS text, 1262304000 + doc_id * 3600 AS sec, doc_id % 50 - 10 AS score FROM documents)
@@ -89,7 +91,7 @@ def oxford_text_archive(spark, sf_dir):
         rows.append(f"{i}\tWork {i}\tDoe, J {i % 7}; Roe, R, 1550-1601 (editor)\t[c. {1500 + i % 400}]\t{'English' if i % 5 else 'Latin'}")
     put(spark, f"{path}/metadata.tsv", "\n".join(rows).encode())
     found = datasets.OxfordTextArchive(spark, path).records(author="Roe, R", date_range=("1510", None), min_len=1)
-    return found.select("id", "title", F.array_join("author", "|").alias("authors"), "year", _MD5)
+    return found.select("id", "title", F.array_join("author", "|").alias("authors"), "year", _md5())
 
 
 _LANGS = ("de", "en", "es", "fr")
@@ -103,7 +105,7 @@ def udhr(spark, sf_dir):
         put(spark, f"{path}/udhr_{i}.txt", f"Header of {i}\n---\n\n   {r['text']}\n\n  second   line\n".encode())
         rows.append(f'<udhr f="{i}" n="L{i % 4}" bcp47="{_LANGS[i % 4]}" stage="{i % 3 and 4 or 2}"/>')
     put(spark, f"{path}/index.xml", f"<udhrs>{chr(10).join(rows)}</udhrs>".encode())
-    return datasets.UDHR(spark, path).records(lang=("de", "fr")).select("lang", "lang_name", "filename", _MD5)
+    return datasets.UDHR(spark, path).records(lang=("de", "fr")).select("lang", "lang_name", "filename", _md5())
 
 
 def _dump(spark, sf_dir) -> str:
@@ -119,19 +121,21 @@ def _dump(spark, sf_dir) -> str:
 
 
 _PAGES = """SELECT doc_id::VARCHAR AS page_id, 'Page ' || doc_id AS title, 'Page ' || (doc_id + 1) AS links, 'Lang ' || lang AS categories, lang AS headings, doc_id AS n_incoming_links, md5(text) AS text_md5 FROM documents WHERE doc_id % 10 <> 9"""
-_PAGE_FIELDS = ("page_id", "title", F.array_join("wiki_links", "|").alias("links"), F.array_join("categories", "|").alias("categories"), F.array_join("headings", "|").alias("headings"), "n_incoming_links", _MD5)
+def _page_fields():
+    return ("page_id", "title", F.array_join("wiki_links", "|").alias("links"), F.array_join("categories", "|").alias("categories"), F.array_join("headings", "|").alias("headings"), "n_incoming_links", _md5())
+
 
 
 @query(_PAGES + " AND lang = 'en' AND length(text) >= 300")
 def wikipedia(spark, sf_dir):
-    return datasets.Wikipedia(spark, _dump(spark, sf_dir)).records(category="Lang en", min_len=300).select(*_PAGE_FIELDS)
+    return datasets.Wikipedia(spark, _dump(spark, sf_dir)).records(category="Lang en", min_len=300).select(*_page_fields())
 
 
 @query(_PAGES + " AND doc_id % 100 IN (1, 7)")
 def wikinews(spark, sf_dir):
     path = _dump(spark, sf_dir)
     wanted = [f"Page {r['i']}" for r in table(spark, sf_dir, "documents").where("doc_id % 100 IN (1, 7)").select((F.col("doc_id") + 1).alias("i")).collect()]
-    return datasets.Wikinews(spark, path).records(wiki_link=wanted).select(*_PAGE_FIELDS)
+    return datasets.Wikinews(spark, path).records(wiki_link=wanted).select(*_page_fields())
 
 
 # ---- texts with their languages
@@ -161,7 +165,7 @@ def iso_languages(spark, sf_dir):
 def dslcc(spark, sf_dir):
     path = scratch(spark)
     _flat(spark, sf_dir).select("text", F.concat("lang", F.lit("-X"))).write.csv(path, sep="\t", quote="")
-    return datasets.LangIdData(spark).dslcc(path, ("de", "fr")).select(_MD5, "lang")
+    return datasets.LangIdData(spark).dslcc(path, ("de", "fr")).select(_md5(), "lang")
 
 
 @query(f"SELECT md5(text) AS text_md5, lang, kind FROM ({_FLAT}), (SELECT unnest(['setimes', 'ted2020']) AS kind) WHERE lang IN ('de', 'en', 'fr') AND {_LONG}")
@@ -171,7 +175,7 @@ def translated_news_and_talks(spark, sf_dir):
         put_lines(rows.where(F.col("lang") == lang).select("text"), f"{path}/news.en-{lang}.{lang}.txt")
     data = datasets.LangIdData(spark)
     found = [f(path, ("de", "en", "fr")).withColumn("kind", F.lit(k)) for k, f in (("setimes", data.setimes), ("ted2020", data.ted2020))]
-    return found[0].unionAll(found[1]).select(_MD5, "lang", "kind")
+    return found[0].unionAll(found[1]).select(_md5(), "lang", "kind")
 
 
 @query(f"SELECT md5(text) AS text_md5, lang FROM ({_FLAT}) WHERE {_LONG}")
@@ -179,7 +183,7 @@ def tatoeba(spark, sf_dir):
     path = scratch(spark)
     three = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in _THREE.items()])
     _flat(spark, sf_dir).select("doc_id", three, "text").write.csv(path, sep="\t", quote="")
-    return datasets.LangIdData(spark).tatoeba(path, _iso(spark)).select(_MD5, "lang")
+    return datasets.LangIdData(spark).tatoeba(path, _iso(spark)).select(_md5(), "lang")
 
 
 @query(f"SELECT md5(text) AS text_md5, lang FROM ({_FLAT}) WHERE {_LONG}")
@@ -189,7 +193,7 @@ def wili(spark, sf_dir):
     rows = _flat(spark, sf_dir).orderBy("doc_id")
     put_lines(rows.select("text"), f"{path}/x.txt")
     put_lines(rows.select(three.alias("text")), f"{path}/y.txt")
-    return datasets.LangIdData(spark).wili(f"{path}/x.txt", f"{path}/y.txt", _iso(spark)).select(_MD5, "lang")
+    return datasets.LangIdData(spark).wili(f"{path}/x.txt", f"{path}/y.txt", _iso(spark)).select(_md5(), "lang")
 
 
 @query(f"SELECT md5(text) AS text_md5, lang FROM ({_FLAT}) WHERE lang IN ('es', 'fr') AND {_LONG}")
@@ -198,9 +202,9 @@ def universal_dependencies(spark, sf_dir):
     sentence = F.concat(F.lit("# sent_id = "), F.col("doc_id").cast("string"), F.lit("\n# text = "), "text", F.lit("\n1\tx\tx\tX\t_\t_\t0\troot\t_\t_\n"))
     for lang in _LANGS:
         put_lines(rows.where(F.col("lang") == lang).select(sentence.alias("text")), f"{path}/UD/{lang}_given-ud-train.conllu")
-    return datasets.LangIdData(spark).ud(path, ("es", "fr")).select(_MD5, "lang")
+    return datasets.LangIdData(spark).ud(path, ("es", "fr")).select(_md5(), "lang")
 
 
 @query(f"SELECT md5(text) AS text_md5, lang FROM (SELECT lang, unnest(regexp_split_to_array(text, chr(10) || '+')) AS text FROM documents) WHERE {_LONG}")
 def text_segments(spark, sf_dir):
-    return datasets.LangIdData(spark).segments(table(spark, sf_dir, "documents")).select(_MD5, "lang")
+    return datasets.LangIdData(spark).segments(table(spark, sf_dir, "documents")).select(_md5(), "lang")
