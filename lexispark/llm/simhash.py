@@ -6,7 +6,9 @@ over: in each band by other bits, and a node is a query in the one shard of ever
 every query to every shard would cost the square of the corpus. The number of bits follows from the number of nodes, and that of
 bands from the bits, so that two signatures within ``MAX_DISTANCE`` share a shard with a probability of ``SHARE`` at least.
 
-Within a shard the nodes are put into a small-world graph, in blocks of ``GRAPH_NODES`` that each serve all queries of
+Within a shard of up to ``COMPLETE_NODES`` nodes all pairs are compared, half of their words first and the others where
+those differ in no more than ``MAX_DISTANCE`` bits: that misses none, and up to this size it costs less than a graph. The nodes of a
+larger shard, as skewed bits may make, are put into small-world graphs, in blocks of ``GRAPH_NODES`` that each serve all queries of
 the shard. The beam of a query expands until its worst member is farther than ``MAX_DISTANCE``, so that partners aren't
 capped; a query with so many partners that its beam would pass ``WIDE_BEAM`` is compared with the whole block, which is
 then cheaper and misses none. Each edge is verified by its exact distance, and a shard sends on a spanning forest of its
@@ -33,16 +35,16 @@ MAX_DISTANCE = 48
 SHARD_NODES, BANDS = 16_384, 6
 #: Probability at least that two nodes at MAX_DISTANCE share a shard.
 SHARE = 0.95
-#: A shard of so many nodes, of which a graph would link all with all, is compared pair by pair.
-COMPLETE_NODES = 64
+#: A shard of so many nodes is compared pair by pair, which costs less than its graph; of so many, together with others of its size.
+COMPLETE_NODES, TINY_NODES = 200_000, 64
 #: Nodes of one graph at most.
 GRAPH_NODES = 200_000
 #: Rows of a task that searches shards.
 TASK_ROWS = 65_536
 #: Links that a node makes, the least beam of a search, and the widest one.
 LINKS, BEAM, WIDE_BEAM = 12, 24, 96
-#: Cells of the arrays that walks and comparisons make at once, so that memory doesn't follow the size of a shard.
-WALK_CELLS, PAIR_CELLS = 250_000, 1_000_000
+#: Cells of the arrays that walks and comparisons make at once, so that memory doesn't follow the size of a shard; those of a tile stay in a core's cache.
+WALK_CELLS, PAIR_CELLS, TILE_CELLS = 250_000, 1_000_000, 131_072
 SALTS = [np.uint64(i * 0x9E3779B97F4A7C15 % 2**64) for i in range(1, WORDS + 1)]
 
 
@@ -187,13 +189,39 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def close_pairs(codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``most``, the lesser number first, each once: only those within it by half of the words are compared whole."""
+    n, words = len(codes), np.ascontiguousarray(codes.T)
+    half, room = len(words) // 2, max(n, TILE_CELLS)
+    differ, bits = np.empty(room, np.uint64), np.empty((2, room), np.uint8)
+    at = 0
+    while at < n:
+        shape = min(n - at, max(1, TILE_CELLS // (n - at))), n - at
+        size = shape[0] * shape[1]
+        x, far, more = (a[:size].reshape(shape) for a in (differ, *bits))
+        for k in range(half):
+            np.bitwise_xor(words[k, at : at + shape[0], None], words[k, None, at:], out=x)
+            np.bitwise_count(x, out=more if k else far)
+            if k:
+                np.add(far, more, out=far)
+        cell = np.flatnonzero(bits[0, :size] <= most)
+        i = cell // shape[1]
+        j = cell - i * shape[1]
+        sum_ = bits[0, cell].astype(np.int16)
+        for k in range(half, len(words)):
+            sum_ += np.bitwise_count(words[k, i + at] ^ words[k, j + at])
+            near = (sum_ <= most) & (j > i)
+            i, j, sum_ = i[near], j[near], sum_[near]
+        if len(i):
+            yield i + at, j + at
+        at += shape[0]
+
+
 def shard_pairs(codes: np.ndarray, most: int, complete_nodes: int = COMPLETE_NODES, graph_nodes: int = GRAPH_NODES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a shard's nodes within ``most``."""
     n = len(codes)
     if n <= complete_nodes:
-        for at in range(0, n, step := max(1, PAIR_CELLS // n)):
-            i, j = np.nonzero(distance(codes[at : at + step, None], codes[None, at:]) <= most)
-            yield i[j > i] + at, j[j > i] + at
+        yield from close_pairs(codes, most)
         return
     for at in range(0, n, graph_nodes):
         graph = SmallWorld(codes[at : at + graph_nodes])
@@ -228,8 +256,8 @@ def _shard_edges(max_distance: int, complete_nodes: int, graph_nodes: int):
 
     def forest(ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         begin = np.cumsum(sizes) - sizes
-        small = sizes <= complete_nodes
-        # small shards of one size together
+        small = sizes <= min(complete_nodes, TINY_NODES)
+        # tiny shards of one size together
         for size in np.unique(sizes[small]):
             rows = begin[small & (sizes == size)]
             i, j = np.triu_indices(size, 1)

@@ -234,6 +234,32 @@ def test_graph_against_exact_search():
     assert found <= exact and len(found) >= 0.9 * len(exact) and len(exact) > 20_000
 
 
+def test_shards_of_thousands_are_compared_exactly_and_without_a_graph(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (3000, 4), dtype=np.uint64)
+    near = base[:600].copy()
+    near[:, 3] ^= np.uint64(2**48 - 1)  # at the limit, all in a word that is compared last
+    near[:300, 2] ^= np.uint64(1)  # one bit beyond it
+    codes = np.concatenate([base, near, ~base[:5], ~near[:5]])
+    codes = codes[rng.permutation(len(codes))]
+    i, j = np.nonzero(simhash.distance(codes[:, None], codes[None]) <= simhash.MAX_DISTANCE)
+    want = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b]
+    monkeypatch.setattr(simhash, "SmallWorld", None)
+    for tile in (None, 1000):
+        if tile:
+            monkeypatch.setattr(simhash, "TILE_CELLS", tile)
+        found = [(a, b) for x, y in simhash.shard_pairs(codes, simhash.MAX_DISTANCE) for a, b in zip(x.tolist(), y.tolist())]
+        assert sorted(found) == want and len(want) >= 300
+    assert not list(simhash.shard_pairs(codes[:0], 48)) and not list(simhash.shard_pairs(codes[:1], 48))
+
+
+def test_recall_of_graphs_against_exact_search(spark, sf):
+    rows = simhash.signatures(table(spark, sf.replace("0.001", "0.01"), "documents")).select(*simhash._WORDS).toPandas()
+    codes = np.unique(rows.to_numpy().view(np.uint64), axis=0)
+    assert simhash.audit(codes, complete_nodes=64) >= 0.9  # one graph
+    assert simhash.audit(codes, shard_nodes=128, complete_nodes=64) >= 0.9  # graphs of shards
+
+
 def test_distance_and_roots():
     a = np.array([[0, 0, 0, 0], [2**64 - 1, 0, 1, 0]], np.uint64)
     assert simhash.distance(a[:1], a[1:]).tolist() == [65]
