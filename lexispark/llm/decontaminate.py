@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexispark.llm.common import TOKEN, TOKEN_SQL, fresh, merge_intervals, row_key, table, text_slices
+from lexispark.llm.common import TOKEN, TOKEN_SQL, fresh, merge_intervals, row_key, table, text_slices, tidy
 
 #: Tokens of a phrase: an 8-gram of the benchmark that occurs in a document is contamination.
 NGRAM = 8
@@ -356,11 +356,11 @@ def _united_spans(source: DataFrame, slices: Iterator[Phrases], shard_tokens: in
 
     hits = None
     for number, phrases in enumerate(slices):
-        part = source.mapInArrow(finder(phrases), f"key binary, id {id_type}, hits array<struct<tok_start:int,tok_end:int,char_start:int,char_end:int,item:long>>").withColumn("slice", F.lit(number))
+        part = source.mapInArrow(tidy(finder(phrases)), f"key binary, id {id_type}, hits array<struct<tok_start:int,tok_end:int,char_start:int,char_end:int,item:long>>").withColumn("slice", F.lit(number))
         hits = part if hits is None else hits.unionAll(part)
     alike = hits.groupBy("key", "slice").agg(F.first("id").alias("id"), F.first("hits").alias("hits"), F.count("*").alias("copies"))
     by_key = alike.groupBy("key").agg(F.first("id").alias("id"), F.max("copies").cast("int").alias("copies"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return by_key.mapInArrow(merge, f"key binary, id {id_type}, copies int, spans array<{SPANS.simpleString()}>")
+    return by_key.mapInArrow(tidy(merge), f"key binary, id {id_type}, copies int, spans array<{SPANS.simpleString()}>")
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, min_item_tokens: int = MIN_ITEM_TOKENS, shard_tokens: int = SHARD_TOKENS, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -393,7 +393,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     first, others = _phrases(benchmark, item_col, item_text_col, slice_chars, ngram, min_item_tokens)
     second = next(others, None)
     if second is None:
-        return source.mapInArrow(finder(first), schema)
+        return source.mapInArrow(tidy(finder(first)), schema)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     united = _united_spans(keyed, chain([first, second], others), shard_tokens)
     return united.select(F.col("id").alias("doc_id"), F.explode(F.flatten(F.array_repeat("spans", F.col("copies")))).alias("s")).select("doc_id", "s.*")
@@ -444,13 +444,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str
     first, others = _phrases(benchmark, item_col, item_text_col, slice_chars, ngram, min_item_tokens)
     second = next(others, None)
     if second is None:
-        return docs.mapInArrow(cleaner(first), docs.schema)
+        return docs.mapInArrow(tidy(cleaner(first)), docs.schema)
     key, spans = fresh(docs, "text_key", "text_spans")
     text_key = F.unhex(F.md5(F.col(text_col)))
     keyed = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), text_key.alias("key"))
     united = _united_spans(keyed, chain([first, second], others), shard_tokens).select(F.col("key").alias(key), F.col("spans").alias(spans))
     joined = docs.withColumn(key, text_key).join(united.hint("shuffle_hash"), key, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(cutter, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(tidy(cutter), docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut, fresh, mix, rank_of, row_key, table, text_slices
+from lexispark.llm.common import cut, fresh, mix, rank_of, row_key, table, text_slices, tidy
 
 #: Lines of a window, the shortest run that counts as repeated.
 MIN_LINES = 2
@@ -113,7 +113,7 @@ def _repeated_by_document(docs: DataFrame, id_col: str, text_col: str, min_lines
     """(key, id, runs) of the documents that have repeated runs, in order and parted from one another."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).where(F.col("text").isNotNull())
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = cut(source.mapInArrow(_fingerprints(min_lines, long_words), f"fp long, wins array<{_WIN_SQL}>, id {id_type}, key binary"))
+    found = cut(source.mapInArrow(tidy(_fingerprints(min_lines, long_words)), f"fp long, wins array<{_WIN_SQL}>, id {id_type}, key binary"))
     often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     around = found.join(often, "fp", "left_semi").select("id", "key", F.inline("wins"))
     place = F.struct(*[rank_of("id")[c].alias(c) for c in ("no_id", "id")], F.col("key").alias("key"), F.col("pos").alias("pos"))
@@ -137,7 +137,7 @@ def _repeated_by_document(docs: DataFrame, id_col: str, text_col: str, min_lines
             kind = pa.list_(pa.struct([("line_start", pa.int32()), ("line_end", pa.int32()), ("n_lines", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["key", "id", "runs"])
 
-    return by_doc.mapInArrow(grown, f"key binary, id {id_type}, runs array<struct<line_start:int,line_end:int,n_lines:int>>")
+    return by_doc.mapInArrow(tidy(grown), f"key binary, id {id_type}, runs array<struct<line_start:int,line_end:int,n_lines:int>>")
 
 
 def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_words: int | None = LONG_WORDS) -> DataFrame:
@@ -194,7 +194,7 @@ def delete_repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
                 columns[count] = pa.array(chars, columns[count].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(cutter, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], spans).mapInArrow(tidy(cutter), docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.chat import VOCABULARY, encoder
-from lexispark.llm.common import SLICE, cut, table, text_slices
+from lexispark.llm.common import SLICE, cut, table, text_slices, tidy
 
 #: Tokens of a sequence.
 SEQ_TOKENS = 2048
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary, whatever the data's size
     kind = np.uint16 if max(encoder(ranks).n_vocab, (end_token or 0) + 1) <= 1 << 16 else np.uint32
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(source.mapInArrow(_pieces(shared, end_token, seq_tokens, unit, bins), f"part int, bin int, k long, doc_id {id_type}, piece int, n int, ids binary"))
+    pieces = cut(source.mapInArrow(tidy(_pieces(shared, end_token, seq_tokens, unit, bins)), f"part int, bin int, k long, doc_id {id_type}, piece int, n int, ids binary"))
     sizes = cut(pieces.groupBy("bin", "part").agg(F.count("*").alias("count")))
     histogram = np.zeros(bins, np.int64)
     for r in sizes.groupBy("bin").agg(F.sum("count").alias("count")).collect():  # at most ``bins`` rows
@@ -264,10 +264,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
         before = F.broadcast(before)
     ranked = pieces.join(before, ["bin", "part"]).select("bin", (F.col("before") + F.col("k")).alias("rank"), "doc_id", "piece", "n", "ids")
     # pieces that fill a sequence stay where they are, the others meet
-    alone, together = (ranked.mapInArrow(_placed(places, x), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary") for x in (True, False))
+    alone, together = (ranked.mapInArrow(tidy(_placed(places, x)), f"seq_id long, slot int, doc_id {id_type}, piece int, n int, ids binary") for x in (True, False))
     ordered = together.repartition(F.col("seq_id")).sortWithinPartitions("seq_id", "slot")
     schema = f"seq_id long, n_tokens int, input_ids array<int>, doc_ids array<{id_type}>, pieces array<int>, starts array<int>"
-    made = [part.select("seq_id", "doc_id", "piece", "n", "ids").mapInArrow(_assembled(kind), schema) for part in (alone, ordered)]
+    made = [part.select("seq_id", "doc_id", "piece", "n", "ids").mapInArrow(tidy(_assembled(kind)), schema) for part in (alone, ordered)]
     return made[0].unionAll(made[1])
 
 

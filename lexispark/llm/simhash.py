@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import TOKEN, LowerHashCache, cut, fresh, mix, rank_of, row_key, table, text_slices
+from lexispark.llm.common import TOKEN, LowerHashCache, cut, fresh, mix, rank_of, row_key, table, text_slices, tidy
 
 #: Bits of a signature, in words of 64.
 BITS = 256
@@ -326,7 +326,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, key binary, " + ", ".join(f"{w} long" for w in _WORDS)
-    return source.mapInArrow(_signatures, schema)
+    return source.mapInArrow(tidy(_signatures), schema)
 
 
 def candidate_edges(nodes: DataFrame, *, max_distance: int = MAX_DISTANCE, shard_nodes: int = SHARD_NODES, complete_nodes: int = COMPLETE_NODES, graph_nodes: int = GRAPH_NODES) -> DataFrame:
@@ -341,10 +341,10 @@ def candidate_edges(nodes: DataFrame, *, max_distance: int = MAX_DISTANCE, shard
             each = pa.array(np.repeat(np.arange(batch.num_rows), len(bits)))
             yield pa.RecordBatch.from_arrays([pa.array(shards.ravel()), *(c.take(each) for c in batch.columns)], names=["shard", "node", *_WORDS])
 
-    rows = nodes.select("node", *_WORDS).mapInArrow(spread, "shard long, node long, " + ", ".join(f"{w} long" for w in _WORDS))
+    rows = nodes.select("node", *_WORDS).mapInArrow(tidy(spread), "shard long, node long, " + ", ".join(f"{w} long" for w in _WORDS))
     tasks = max(1, min(len(bits) << bits.shape[1], -(-n * len(bits) // TASK_ROWS)))
     placed = rows.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard")
-    return placed.mapInArrow(_shard_edges(max_distance, complete_nodes, graph_nodes), "a long, b long").distinct()
+    return placed.mapInArrow(tidy(_shard_edges(max_distance, complete_nodes, graph_nodes)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexispark.llm import packing, topk_search, warc
-from lexispark.llm.common import table
+from lexispark.llm.common import table, tidy
 from tests.conftest import same_rows
 
 
@@ -216,6 +217,36 @@ def test_pipeline(spark, sf):
     assert len(kept) > 0.5 * docs.count()
 
 
+def test_a_worker_gives_back_what_a_task_took():
+    held = lambda: int(next(x for x in Path("/proc/self/status").read_text().splitlines() if x.startswith("VmRSS")).split()[1]) // 1024
+    pins = []
+
+    def run(batches):
+        blocks = []
+        for k in range(6000):  # too small to be mapped one by one, with others among them that stay
+            blocks.append(np.ones(50_000, np.uint8))
+            if k % 50 == 0:
+                pins.append(np.ones(2_000, np.uint8))
+        yield from ((b, held()) for b in batches)
+
+    before = held()
+    assert [b for b, _ in run([1])] == [1]
+    kept = held() - before
+    pins.clear()
+    ((b, most),) = tidy(run)([2])
+    assert b == 2 and most - before > 200
+    assert held() - before < min(100, 0.5 * kept)
+
+
+def test_all_python_of_the_pipeline_gives_memory_back(spark, sf, monkeypatch):
+    docs, seen = table(spark, sf, "documents").limit(200), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, func, *a, **k: (seen.append(func.__qualname__), plain(df, func, *a, **k))[1])
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf)
+    assert len(seen) >= 8 and set(seen) == {"tidy.<locals>.tidied"}
+
+
 def test_pipeline_stages_with_odd_rows(spark, sf):
     long = "word " * 40_000
     rows = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0), (3, "a\nb", "en", "s", 3), (3, "a\nb", "en", "s", 3), (4, "a\nb", "en", "s", 3), (5, long, "en", "s", 200_000)]
