@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexispark.plans.registry import query, table
-from lexispark.shared import put, put_lines, scratch
+from lexispark.shared import put, put_lines, scratch, written
 from lexispark.sources import datasets
 
 def _md5():
@@ -190,9 +190,10 @@ def tatoeba(spark, sf_dir):
 def wili(spark, sf_dir):
     path = scratch(spark)
     three = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in _THREE.items()])
-    rows = _flat(spark, sf_dir).orderBy("doc_id")
+    # read twice, so that both files have the same order
+    rows = written(_flat(spark, sf_dir).select("text", three.alias("label")))
     put_lines(rows.select("text"), f"{path}/x.txt")
-    put_lines(rows.select(three.alias("text")), f"{path}/y.txt")
+    put_lines(rows.select("label"), f"{path}/y.txt")
     return datasets.LangIdData(spark).wili(f"{path}/x.txt", f"{path}/y.txt", _iso(spark)).select(_md5(), "lang")
 
 

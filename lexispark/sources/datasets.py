@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.shared import numbered
 from lexispark.utils import to_collection, validate_and_clip_range, validate_set_members
 
 
@@ -319,7 +320,8 @@ class LangIdData:
 
     def wili(self, texts: str, labels: str, iso: DataFrame, min_len: int = 25) -> DataFrame:
         """Two parallel files, joined line by line."""
-        lines = lambda p, n: self.spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", n))
+        # numbered in the file's blocks, of which each task reads some
+        lines = lambda p, n: numbered(self.spark.read.text(p, lineSep="\n").select(F.col("value").alias(n), F.col("_metadata.file_block_start").alias("_block")), "line", F.col("_block")).drop("_block")
         both = lines(texts, "text").join(lines(labels, "iso_639_3"), "line")
         return self._long(both.join(F.broadcast(iso), "iso_639_3").select("text", F.col("iso_639_1").alias("lang")), min_len)  # a row for each language
 
