@@ -71,8 +71,16 @@ def reddit_comments(spark, sf_dir):
     body = "concat('**a** &gt; b &amp; `c`  ', trim(regexp_replace(text, '[^\\\\p{L}\\\\p{N} .,]+', ' ')), ' [link](http://a.example/b)')"
     rows = _docs(spark, sf_dir, body=body, created_utc="CAST(1262304000 + doc_id * 3600 AS STRING)", retrieved_on="'x'", subreddit="CAST(doc_id AS STRING)", score="CAST(doc_id % 50 - 10 AS INT)", gilded="0")
     rows = rows.withColumn("month", F.date_format(F.timestamp_seconds(F.col("created_utc").cast("long")), "yyyy-MM"))
-    for month in [r["month"] for r in rows.select("month").distinct().orderBy("month").collect()]:  # months
-        rows.where(F.col("month") == month).drop("month").write.json(f"{path}/{month[:4]}/RC_{month}.bz2", compression="bzip2")
+    # written in one pass, a folder for each month, which then gets its name
+    made = scratch(spark)
+    rows.write.partitionBy("month").json(made, compression="bzip2")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in [s.getPath() for s in fs.listStatus(at(made)) if s.getPath().getName().startswith("month=")]:
+        month = folder.getName().removeprefix("month=")
+        fs.mkdirs(at(f"{path}/{month[:4]}"))
+        if not fs.rename(folder, at(f"{path}/{month[:4]}/RC_{month}.bz2")):
+            raise OSError(f"the month {month} can't be written")
     comments = datasets.RedditComments(spark, path)
     everything = comments.records(score_range=(0, None))
     last = rows.agg(F.max("month")).first()[0]
